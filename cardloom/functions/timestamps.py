@@ -86,8 +86,10 @@ _US = 1_000_000
 _DAY_US = 86_400 * _US
 
 
-def _lookup(entries: dict) -> Column:
-    return F.create_map(*[F.lit(x) for pair in entries.items() for x in pair])
+def _lookup(entries: dict[str, int], key: str) -> Column:
+    """Value of the key column in a literal map, or null; as SQL text, since a call per entry is slow."""
+    pairs = ", ".join(f"'{name}', {value}L" for name, value in entries.items())
+    return F.expr(f"try_element_at(map({pairs}), {key})")
 
 
 def _days(ok: Column, y: Column, m: Column, d: Column) -> Column:
@@ -133,6 +135,12 @@ def rewritten(trimmed: Column) -> Column:
     return out
 
 
+def _step(df: DataFrame, keep: list[str], *columns: Column | str) -> DataFrame:
+    """``keep`` and the computed columns, by way of a generator: the optimizer neither merges the steps of a long
+    computation into one expression nor copies them into filters above, either of which grows exponentially."""
+    return df.select(*keep, F.inline(F.array(F.struct(*columns))))
+
+
 def with_normal_form(df: DataFrame, text: str, zone: str, date_order: str) -> DataFrame:
     """Adds ``normal`` (text) and ``micros`` (microseconds since 1970) for the time text in column ``text``.
 
@@ -145,15 +153,16 @@ def with_normal_form(df: DataFrame, text: str, zone: str, date_order: str) -> Da
     c = F.col
     p = [c("_p")[i] for i in range(10)]
     out = df.withColumn("_t", F.regexp_replace(c(text), r"^[\s\u00a0]+|[\s\u00a0]+$", ""))
-    out = out.withColumn("_r", rewritten(c("_t"))).withColumn("_p", F.split(F.substring("_r", 2, 2_147_483_647), r"\|", -1))
-    out = out.select(
-        *keep, p[0].alias("_kind"), p[1].alias("_y"), p[2].alias("_a"), p[3].alias("_b"), p[4].alias("_h"), p[5].alias("_mi"), p[6].alias("_s"), p[7].alias("_f"), F.lower(p[8]).alias("_am"),
+    out = _step(out, keep, rewritten(c("_t")).alias("_r"))
+    out = _step(out, keep, F.split(F.substring("_r", 2, 2_147_483_647), r"\|", -1).alias("_p"))
+    out = _step(
+        out, keep, p[0].alias("_kind"), p[1].alias("_y"), p[2].alias("_a"), p[3].alias("_b"), p[4].alias("_h"), p[5].alias("_mi"), p[6].alias("_s"), p[7].alias("_f"), F.lower(p[8]).alias("_am"),
         F.regexp_replace(F.lower(p[9]), r"^(?:utc|gmt)(?=[+-])", "").alias("_z"),
         ((p[0] == "o") & (F.upper(F.trim(F.coalesce(c(date_order), F.lit("DMY")))) != "MDY")).alias("_swap"),
     )
-    names = _lookup({name: number for number, all_names in MONTHS.items() for name in all_names.split()})
-    out = out.select(
-        *keep, "_kind", "_y", "_a", "_b", "_h", "_mi", "_am", "_z",
+    names = {name: number for number, all_names in MONTHS.items() for name in all_names.split()}
+    out = _step(
+        out, keep, "_kind", "_y", "_a", "_b", "_h", "_mi", "_am", "_z",
         (_int(c("_y")) + F.when((c("_kind") != "u") & (F.length("_y") == 2), 2000).otherwise(0)).alias("_year"),
         F.when(c("_swap"), c("_b")).otherwise(c("_a")).alias("_mt"), F.when(c("_swap"), c("_a")).otherwise(c("_b")).alias("_dt"),
         _int(c("_h")).alias("_hour"), F.coalesce(_int(c("_mi")), F.lit(0)).alias("_minute"), F.coalesce(_int(c("_s")), F.lit(0)).alias("_second"),
@@ -161,30 +170,30 @@ def with_normal_form(df: DataFrame, text: str, zone: str, date_order: str) -> Da
         F.regexp_replace("_z", r"[+:-]", "").alias("_zd"),
     )
     zone_minutes = F.coalesce(_int(F.nullif(F.substring("_zd", 3, 2), F.lit(""))), F.lit(0))
-    out = out.select(
-        *keep, "_kind", "_y", "_a", "_b", "_h", "_mt", "_dt", "_mi", "_am", "_z", "_year", "_hour", "_minute", "_second", "_fraction",
-        F.coalesce(_int(c("_mt")), F.try_element_at(names, F.lower("_mt")).cast("long")).alias("_month"), _int(c("_dt")).alias("_day"),
+    out = _step(
+        out, keep, "_kind", "_y", "_a", "_b", "_h", "_mt", "_dt", "_mi", "_am", "_z", "_year", "_hour", "_minute", "_second", "_fraction",
+        F.coalesce(_int(c("_mt")), _lookup(names, "lower(_mt)")).alias("_month"), _int(c("_dt")).alias("_day"),
         (_int(F.substring("_zd", 1, 2)) * 60 + zone_minutes).alias("_shift"), (zone_minutes <= 59).alias("_shift_ok"),
     )
     hour24 = F.when(c("_am") == "", c("_hour")).otherwise(c("_hour") % 12 + F.when(c("_am") == "p", 12).otherwise(0))
     east = F.when(
         c("_z").rlike("^[+-]"), F.when(c("_shift_ok") & c("_shift").between(0, 14 * 60), F.when(c("_z").startswith("-"), -c("_shift")).otherwise(c("_shift")))
-    ).otherwise(F.try_element_at(_lookup(ZONES), c("_z")).cast("long"))
+    ).otherwise(_lookup(ZONES, "_z"))
     calendar = c("_kind").isin("n", "o") & c("_year").between(1, 9999)
     clock_ok = (
         F.when(c("_am") == "", c("_hour").between(0, 23) & (c("_mi") != "")).otherwise(c("_hour").between(1, 12))
         & c("_minute").between(0, 59) & c("_second").between(0, 59)
     )
-    out = out.select(
-        *keep, "_kind", "_y", "_a", "_b", "_h", "_mt", "_dt", "_z", "_year", "_month", "_fraction",
+    out = _step(
+        out, keep, "_kind", "_y", "_a", "_b", "_h", "_mt", "_dt", "_z", "_year", "_month", "_fraction",
         (calendar & c("_month").between(1, 12)).alias("_month_ok"), calendar.alias("_year_ok"),
         (calendar & c("_month").between(1, 12) & c("_day").between(1, _month_days(c("_year"), c("_month")))).alias("_date_ok"),
         clock_ok.alias("_clock_ok"), east.alias("_east"), "_day",
         ((hour24 * 3600 + c("_minute") * 60 + c("_second")) * _US + c("_fraction")).alias("_of_day"),
     )
     one, four = F.lit(1), F.lit(4)
-    out = out.select(
-        *keep, "_kind", "_y", "_a", "_b", "_h", "_mt", "_dt", "_z", "_year", "_month", "_fraction", "_month_ok", "_year_ok", "_date_ok", "_clock_ok", "_east", "_of_day",
+    out = _step(
+        out, keep, "_kind", "_y", "_a", "_b", "_h", "_mt", "_dt", "_z", "_year", "_month", "_fraction", "_month_ok", "_year_ok", "_date_ok", "_clock_ok", "_east", "_of_day",
         _days(c("_date_ok"), c("_year"), c("_month"), c("_day")).cast("long").alias("_days"),
         _days((c("_kind") == "w") & c("_year").between(1, 9998), c("_year"), one, four).alias("_jan4"),
         _days((c("_kind") == "w") & c("_year").between(1, 9998), c("_year") + 1, one, four).alias("_next4"),
@@ -192,11 +201,12 @@ def with_normal_form(df: DataFrame, text: str, zone: str, date_order: str) -> Da
     )
     monday = c("_jan4") - F.pmod(c("_jan4") + 3, F.lit(7))
     weeks = (c("_next4") - F.pmod(c("_next4") + 3, F.lit(7)) - monday) / 7
-    zones = F.when(c(zone).isin(sorted(available_timezones())), c(zone))
+    listed = ", ".join(f"'{name}'" for name in sorted(available_timezones()))
+    zones = F.expr(f"case when `{zone}` in ({listed}) then `{zone}` end")
     out = out.withColumn("_wall", F.when(c("_clock_ok"), c("_days") * _DAY_US + c("_of_day")))
     from_local = F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(c("_wall")), zones))
-    out = out.select(
-        *keep, "_year", "_month", "_mt", "_dt", "_month_ok", "_year_ok", "_h",
+    out = _step(
+        out, keep, "_year", "_month", "_mt", "_dt", "_month_ok", "_year_ok", "_h",
         F.when(c("_kind") == "u", _int(c("_y")) * _US + c("_fraction"))
         .when(c("_h") != "", F.when(c("_z") == "", from_local).otherwise(c("_wall") - c("_east") * 60 * _US)).alias("_micros"),
         F.when(c("_date_ok") & (c("_h") == ""), c("_days"))
@@ -208,4 +218,4 @@ def with_normal_form(df: DataFrame, text: str, zone: str, date_order: str) -> Da
         .when(c("_month_ok") & (c("_h") == "") & (c("_dt") == ""), F.concat(_pad(c("_year"), 4), F.lit("-"), _pad(c("_month"), 2)))
     )
     day_text = F.date_from_unix_date(c("_date_days").cast("int")).cast("string")
-    return out.select(*keep, F.coalesce(instant_text(c("_micros")), day_text, partial).alias("normal"), F.coalesce(c("_micros"), c("_date_days") * _DAY_US).alias("micros"))
+    return _step(out, keep, F.coalesce(instant_text(c("_micros")), day_text, partial).alias("normal"), F.coalesce(c("_micros"), c("_date_days") * _DAY_US).alias("micros"))
