@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardloom.llm import contributor_cap, survivors
+from cardloom.llm import contamination, contributor_cap, survivors, toxicity
 from cardloom.sources.tables import table
 
 
@@ -20,8 +20,27 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors.card_survivors(table(spark, sf_dir, "evidence_cards"), table(spark, sf_dir, "source_profiles"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaks = contamination.leaked_items(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+    return leaks.select("item_id", "doc_id")
+
+
+def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which test items leaked, and into how many documents."""
+    leaks = contamination.leaked_items(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+    return leaks.groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.max("containment").alias("most"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_by_source(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p6_found": p6_found}
+    return {"p2_found": p2_found, "p6_found": p6_found, "p7_found": p7_found, "p7_items": p7_items, "p9_found": p9_found, "p9_rates": p9_rates}
 
 
 def oracle_sql() -> dict[str, str]:
