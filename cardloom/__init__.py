@@ -1,3 +1,10 @@
 """cardloom: evidence-card analytics as plain ``DataFrame -> DataFrame`` operators on Spark."""
 
 __version__ = "0.1.0"
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package that run in Python workers travel with the job, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -15,6 +15,8 @@ from zoneinfo import available_timezones
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cardloom.functions.steps import step
+
 # Month names in en, de, fr, es.
 MONTHS = {
     1: "january jan januar jän jänner janvier janv enero ene",
@@ -135,12 +137,6 @@ def rewritten(trimmed: Column) -> Column:
     return out
 
 
-def _step(df: DataFrame, keep: list[str], *columns: Column | str) -> DataFrame:
-    """``keep`` and the computed columns, by way of a generator: the optimizer neither merges the steps of a long
-    computation into one expression nor copies them into filters above, either of which grows exponentially."""
-    return df.select(*keep, F.inline(F.array(F.struct(*columns))))
-
-
 def with_normal_form(df: DataFrame, text: str, zone: str, date_order: str) -> DataFrame:
     """Adds ``normal`` (text) and ``micros`` (microseconds since 1970) for the time text in column ``text``.
 
@@ -153,15 +149,15 @@ def with_normal_form(df: DataFrame, text: str, zone: str, date_order: str) -> Da
     c = F.col
     p = [c("_p")[i] for i in range(10)]
     out = df.withColumn("_t", F.regexp_replace(c(text), r"^[\s\u00a0]+|[\s\u00a0]+$", ""))
-    out = _step(out, keep, rewritten(c("_t")).alias("_r"))
-    out = _step(out, keep, F.split(F.substring("_r", 2, 2_147_483_647), r"\|", -1).alias("_p"))
-    out = _step(
+    out = step(out, keep, rewritten(c("_t")).alias("_r"))
+    out = step(out, keep, F.split(F.substring("_r", 2, 2_147_483_647), r"\|", -1).alias("_p"))
+    out = step(
         out, keep, p[0].alias("_kind"), p[1].alias("_y"), p[2].alias("_a"), p[3].alias("_b"), p[4].alias("_h"), p[5].alias("_mi"), p[6].alias("_s"), p[7].alias("_f"), F.lower(p[8]).alias("_am"),
         F.regexp_replace(F.lower(p[9]), r"^(?:utc|gmt)(?=[+-])", "").alias("_z"),
         ((p[0] == "o") & (F.upper(F.trim(F.coalesce(c(date_order), F.lit("DMY")))) != "MDY")).alias("_swap"),
     )
     names = {name: number for number, all_names in MONTHS.items() for name in all_names.split()}
-    out = _step(
+    out = step(
         out, keep, "_kind", "_y", "_a", "_b", "_h", "_mi", "_am", "_z",
         (_int(c("_y")) + F.when((c("_kind") != "u") & (F.length("_y") == 2), 2000).otherwise(0)).alias("_year"),
         F.when(c("_swap"), c("_b")).otherwise(c("_a")).alias("_mt"), F.when(c("_swap"), c("_a")).otherwise(c("_b")).alias("_dt"),
@@ -170,7 +166,7 @@ def with_normal_form(df: DataFrame, text: str, zone: str, date_order: str) -> Da
         F.regexp_replace("_z", r"[+:-]", "").alias("_zd"),
     )
     zone_minutes = F.coalesce(_int(F.nullif(F.substring("_zd", 3, 2), F.lit(""))), F.lit(0))
-    out = _step(
+    out = step(
         out, keep, "_kind", "_y", "_a", "_b", "_h", "_mt", "_dt", "_mi", "_am", "_z", "_year", "_hour", "_minute", "_second", "_fraction",
         F.coalesce(_int(c("_mt")), _lookup(names, "lower(_mt)")).alias("_month"), _int(c("_dt")).alias("_day"),
         (_int(F.substring("_zd", 1, 2)) * 60 + zone_minutes).alias("_shift"), (zone_minutes <= 59).alias("_shift_ok"),
@@ -184,7 +180,7 @@ def with_normal_form(df: DataFrame, text: str, zone: str, date_order: str) -> Da
         F.when(c("_am") == "", c("_hour").between(0, 23) & (c("_mi") != "")).otherwise(c("_hour").between(1, 12))
         & c("_minute").between(0, 59) & c("_second").between(0, 59)
     )
-    out = _step(
+    out = step(
         out, keep, "_kind", "_y", "_a", "_b", "_h", "_mt", "_dt", "_z", "_year", "_month", "_fraction",
         (calendar & c("_month").between(1, 12)).alias("_month_ok"), calendar.alias("_year_ok"),
         (calendar & c("_month").between(1, 12) & c("_day").between(1, _month_days(c("_year"), c("_month")))).alias("_date_ok"),
@@ -192,7 +188,7 @@ def with_normal_form(df: DataFrame, text: str, zone: str, date_order: str) -> Da
         ((hour24 * 3600 + c("_minute") * 60 + c("_second")) * _US + c("_fraction")).alias("_of_day"),
     )
     one, four = F.lit(1), F.lit(4)
-    out = _step(
+    out = step(
         out, keep, "_kind", "_y", "_a", "_b", "_h", "_mt", "_dt", "_z", "_year", "_month", "_fraction", "_month_ok", "_year_ok", "_date_ok", "_clock_ok", "_east", "_of_day",
         _days(c("_date_ok"), c("_year"), c("_month"), c("_day")).cast("long").alias("_days"),
         _days((c("_kind") == "w") & c("_year").between(1, 9998), c("_year"), one, four).alias("_jan4"),
@@ -205,7 +201,7 @@ def with_normal_form(df: DataFrame, text: str, zone: str, date_order: str) -> Da
     zones = F.expr(f"case when `{zone}` in ({listed}) then `{zone}` end")
     out = out.withColumn("_wall", F.when(c("_clock_ok"), c("_days") * _DAY_US + c("_of_day")))
     from_local = F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(c("_wall")), zones))
-    out = _step(
+    out = step(
         out, keep, "_year", "_month", "_mt", "_dt", "_month_ok", "_year_ok", "_h",
         F.when(c("_kind") == "u", _int(c("_y")) * _US + c("_fraction"))
         .when(c("_h") != "", F.when(c("_z") == "", from_local).otherwise(c("_wall") - c("_east") * 60 * _US)).alias("_micros"),
@@ -218,4 +214,4 @@ def with_normal_form(df: DataFrame, text: str, zone: str, date_order: str) -> Da
         .when(c("_month_ok") & (c("_h") == "") & (c("_dt") == ""), F.concat(_pad(c("_year"), 4), F.lit("-"), _pad(c("_month"), 2)))
     )
     day_text = F.date_from_unix_date(c("_date_days").cast("int")).cast("string")
-    return _step(out, keep, F.coalesce(instant_text(c("_micros")), day_text, partial).alias("normal"), F.coalesce(c("_micros"), c("_date_days") * _DAY_US).alias("micros"))
+    return step(out, keep, F.coalesce(instant_text(c("_micros")), day_text, partial).alias("normal"), F.coalesce(c("_micros"), c("_date_days") * _DAY_US).alias("micros"))
