@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cardloom.functions.words import shingle_hashes, words
+from cardloom.functions.words import with_shingles
 from cardloom.session import bounded, cut
 
 SHINGLE = 5
@@ -72,12 +72,14 @@ def leaked_items(items: DataFrame, documents: DataFrame, share: float = CONTAINM
     five words, are in no pair. Copies of a document are rows of their own. Items whose ids repeat count once per distinct
     text; the pair then carries the largest containment.
     """
-    item_words = items.select("item_id", F.col("text").alias("_item"), words(F.col("text")).alias("_w")).where(F.size("_w") >= SHINGLE)
-    item_shingles = item_words.select("item_id", "_item", F.size("_w").alias("_words"), F.array_distinct(shingle_hashes(F.col("_w"), SHINGLE)).alias("_s"))
+    item_shingles = with_shingles(items.select("item_id", F.col("text").alias("_item")), ["item_id", "_item"], "_item", SHINGLE).select(
+        "item_id", "_item", "_words", F.array_distinct("_shingles").alias("_s")
+    )
     wanted = item_shingles.withColumn("_total", F.size("_s")).withColumn("_required", F.greatest(F.lit(1), F.ceil(F.col("_total") * REQUIRED)).cast("int"))
     exploded = wanted.select("item_id", F.xxhash64("_item").alias("_copy"), "_words", "_total", "_required", F.explode("_s").alias("_h"))
-    doc_words = documents.select("doc_id", words(F.col("text")).alias("_w")).where(F.size("_w") >= SHINGLE)
-    doc_shingles = doc_words.select("doc_id", F.size("_w").alias("_length"), F.explode(shingle_hashes(F.col("_w"), SHINGLE)).alias("_h"))
+    doc_shingles = with_shingles(documents.select("doc_id", "text"), ["doc_id"], "text", SHINGLE).select(
+        "doc_id", F.col("_words").alias("_length"), F.explode("_shingles").alias("_h")
+    )
     keys = bounded(exploded.select("_h").distinct(), 500_000)
     shared = cut(doc_shingles.join(keys, "_h", "left_semi").distinct())
     rarity = shared.groupBy("_h").agg(F.count(F.lit(1)).alias("_df"))
