@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardloom.llm import contamination, contributor_cap, survivors, toxicity
+from cardloom.llm import boilerplate, contamination, contributor_cap, residue, survivors, toxicity, truncation
 from cardloom.sources.tables import table
 
 
@@ -16,6 +16,27 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contributor_cap.over_cap(records)
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.cut_values(table(spark, sf_dir, "evidence_cards"))
+
+
+def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.cut_rates(table(spark, sf_dir, "evidence_cards"), table(spark, sf_dir, "source_profiles"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue_values(table(spark, sf_dir, "evidence_cards")).select("ingest_idx", "field")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.card_furniture(table(spark, sf_dir, "evidence_cards"))
+
+
+def p5_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main body of each card's texts."""
+    return boilerplate.main_bodies(table(spark, sf_dir, "evidence_cards", "ingest_idx", "title", "supporting_text", "snippet"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors.card_survivors(table(spark, sf_dir, "evidence_cards"), table(spark, sf_dir, "source_profiles"))
 
@@ -40,7 +61,7 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p6_found": p6_found, "p7_found": p7_found, "p7_items": p7_items, "p9_found": p9_found, "p9_rates": p9_rates}
+    return {"p2_found": p2_found, "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p5_found": p5_found, "p5_bodies": p5_bodies, "p6_found": p6_found, "p7_found": p7_found, "p7_items": p7_items, "p9_found": p9_found, "p9_rates": p9_rates}
 
 
 def oracle_sql() -> dict[str, str]:
