@@ -28,6 +28,8 @@ PRIOR = 0.03
 SMOOTH_RESIDUE, SMOOTH_CLEAN = 0.1, 0.01
 #: Share of a record's words that must be in positive passages.
 SHARE = 0.6
+#: Passages of up to so many words also count their neighbouring pairs.
+PAIRED = 12
 SEED = 7_411
 
 # Trusted records, in natural wording.
@@ -102,7 +104,10 @@ def passages(text: str | None) -> list[tuple[bool, list[int], int]]:
     for piece in _SPLIT.split(text):
         words = _WORD.findall(piece.lower())
         if words:
-            out.append((False, [_word_key(w) for w in words], len(words)))
+            keys = [_word_key(w) for w in words]
+            if len(keys) <= PAIRED:  # pairs tell short messages from short sentences; their key needs no text
+                keys += [(a * 31 + b * 17 + 7) & (FEATURES - 1) for a, b in zip(keys, keys[1:])]
+            out.append((False, keys, len(words)))
     return out
 
 

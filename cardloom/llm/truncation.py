@@ -85,11 +85,17 @@ def ending(text: str | None, title: str | None, others: tuple[str | None, ...] =
     if _headline(bare, title) or _headline(last, title) or _FIGURE.match(last) or _ROW.match(last):
         return None
     words = _WORDS.findall(bare.lower())
-    running = len(words) >= 4 and sum(w in STOP_WORDS for w in words) / len(words) >= DENSE
+    running = len(words) >= 4 and (sum(w in STOP_WORDS for w in words) / len(words) >= DENSE or len(words) >= 6 and ", " in last)
+    running = running or text[-1:] == " " or bare.count("(") > bare.count(")") or bare.count("„") + bare.count("“") + bare.count("«") > bare.count("”") + bare.count("»") + bare.count("“")
     final = _FINAL.search(bare)
     return "open", final.group(1).lower() if final else "", bool(goes_on or running or _INNER_END.search(bare))
 
 
+def _surely_ended(text: str) -> bool:
+    """A quick test that most complete values pass: an ordinary sentence end, without dots of a mark and not after a digit."""
+    return text[-1] in ".!?" and text[-2:-1].isalpha() or text[-2:] in (".”", ".»", '."') and text[-3:-2].isalpha()
+
+
 def _endings(cards: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     """(ingest_idx, field, kind, token, strong, length) of the values that may be cut."""
     model = residue.shared(cards.sparkSession, residue.fitted(cards))
@@ -103,7 +109,7 @@ def _endings(cards: DataFrame, fields: tuple[str, ...]) -> DataFrame:
             rows = []
             for field in fields:
                 for k, text in enumerate(columns[field]):
-                    if not text or _ENDED.search(text) and text[-2:] not in ('."', ".”", ".»") and not text[-2].isdigit() and text[-3:] != "...":
+                    if not text or _surely_ended(text):
                         continue
                     body = main_text(text, titles[k]) if "\n" in text else text
                     found = ending(body, titles[k], tuple(columns[c][k] for c in sources if c != field))
