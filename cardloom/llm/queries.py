@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardloom.llm import boilerplate, contamination, contributor_cap, residue, survivors, toxicity, truncation
+from cardloom.llm import boilerplate, contamination, contributor_cap, mixing, residue, survivors, toxicity, truncation
 from cardloom.sources.tables import table
 
 
@@ -52,6 +52,16 @@ def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.max("containment").alias("most"))
 
 
+def p8_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies per document of the mix, with output shard and position in it."""
+    return mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share per source."""
+    return mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -61,7 +71,7 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p5_found": p5_found, "p5_bodies": p5_bodies, "p6_found": p6_found, "p7_found": p7_found, "p7_items": p7_items, "p9_found": p9_found, "p9_rates": p9_rates}
+    return {"p2_found": p2_found, "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p5_found": p5_found, "p5_bodies": p5_bodies, "p6_found": p6_found, "p7_found": p7_found, "p7_items": p7_items, "p8_copies": p8_copies, "p8_shares": p8_shares, "p9_found": p9_found, "p9_rates": p9_rates}
 
 
 def oracle_sql() -> dict[str, str]:
