@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cardloom.llm.samples import hash_sample
+
 FEATURES = 1 << 17
 #: Bounds of the fit: texts of the sample, and characters of each that it sees.
 SAMPLE_TEXTS = 16_000
@@ -169,9 +171,9 @@ def residue_score(text: str | None, odds) -> float:
 
 def fitted(cards: DataFrame, fields: tuple[str, ...] = ("snippet", "supporting_text")) -> list[float]:
     """The model from a bounded sample of the texts of ``fields``, as a plain list."""
-    values = cards.select("ingest_idx", F.explode(F.array(*[F.substring(f, 1, SAMPLE_CHARACTERS) for f in fields])).alias("text")).where(F.col("text").isNotNull())
-    chosen = values.select("text", F.xxhash64("ingest_idx", "text", F.lit(SEED)).alias("_o")).orderBy("_o").limit(SAMPLE_TEXTS)
-    model = learn([r.text for r in chosen.select("text").collect()])
+    chosen = hash_sample(cards.select("ingest_idx", *fields), ["ingest_idx"], SAMPLE_TEXTS // len(fields), SEED)
+    rows = chosen.select(*[F.substring(f, 1, SAMPLE_CHARACTERS).alias(f) for f in fields]).collect()
+    model = learn([text for row in rows for text in row if text])
     _WORDS.clear()
     return model.tolist()
 
