@@ -5,18 +5,301 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from cardloom.functions import quantities, text, urls
+from cardloom.operators import evidence, near_duplicates, neighbours, summaries
 from cardloom.operators.normalise_time import changed_times
 from cardloom.sources.tables import table
 
+REQUIRED = ["id", "url", "title", "snippet", "provider", "claim", "collected_at"]
+SCORES = ["credibility_score", "relevance_score"]
+GROUP_TOP = 3
+
+_VALID = "case when {0} is not null and not isnan({0}) and {0} between 0 and 1 then {0} end"
+_CRED, _CONF, _REL = (_VALID.format(c) for c in ("credibility_score", "confidence", "relevance_score"))
+_DOMAIN = r"coalesce(nullif(regexp_replace(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), ':[0-9]+$', ''), '^www\.', ''), ''), 'unknown')"
+_CLAIM = r"trim(regexp_replace(regexp_replace(lower(coalesce({0}, '')), '[^a-z0-9\s]', '', 'g'), '\s+', ' ', 'g'))"
+_TOKENS = "list_filter(string_split_regex(lower(coalesce({0}, '')), '[^a-z0-9]+'), lambda w: w <> '')"
+_MASKED = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(coalesce({0}, '')), '\b(?:19|20)\d{{2}}\b', 'year', 'g'), '\d+(?:[.,]\d+)*\s*(?:%|percent)', 'pct', 'g'), '\d+(?:[.,]\d+)*', 'num', 'g'), '\s+', ' ', 'g'))"
+_FIRST_COSTS = "(select * from cost_records qualify row_number() over (partition by id order by recorded_at) = 1)"
+
+
+def _sql_list(values: list[str]) -> str:
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+
+
+_UNIT_SQL = [(u, p.replace("'", "''")) for u, p in quantities.UNITS]
+_LOW = "lower(coalesce(claim, ''))"
+_VALUE = (
+    "cast(coalesce("
+    + ", ".join(f"nullif(regexp_extract({_LOW}, '{p}', 1), '')" for _, p in _UNIT_SQL)
+    + rf", replace(nullif(regexp_extract({_LOW}, '\b(\d{{1,3}}(?:,\d{{3}})+(?:\.\d+)?)\b', 1), ''), ',', ''), nullif(regexp_extract({_LOW}, '(?:^|[^\w.])((?:[013-9]|2[1-9])\d*(?:\.\d+)?)\b', 1), '')) as double)"
+)
+_UNIT = "case " + " ".join(f"when regexp_matches({_LOW}, '{p}') then '{u}'" for u, p in _UNIT_SQL) + " else '' end"
+
+SqlQuery = tuple[Callable[[SparkSession, str], DataFrame], str | None]
+
+
+def _cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "evidence_cards")
+
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return changed_times(table(spark, sf_dir, "evidence_cards"), table(spark, sf_dir, "source_profiles"))
+    return changed_times(_cards(spark, sf_dir), table(spark, sf_dir, "source_profiles"))
+
+
+def _url_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = F.col("url")
+    return _cards(spark, sf_dir).select("ingest_idx", urls.canonical_url(url).alias("canonical"), urls.domain(url).alias("domain"), F.sha1(urls.canonical_url(url)).alias("url_id"))
+
+
+def _works(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.first_per_work(_cards(spark, sf_dir))
+
+
+def _hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    claim = text.normalised_claim(F.col("claim"))
+    return _cards(spark, sf_dir).select("ingest_idx", F.sha2(claim, 256).alias("claim_hash"), F.substring(F.md5(claim), 1, 8).alias("claim_id"), F.substring(F.md5(claim), 1, 16).alias("long_id"))
+
+
+def _scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    claim = F.col("claim")
+    return _cards(spark, sf_dir).select(
+        "ingest_idx", text.masked_numbers(claim).alias("masked"), F.array_join(text.without_stop_words(text.tokens(claim)), " ").alias("content_words"), text.truncated(claim, 40).alias("short"),
+        F.array_join(text.number_tokens(claim), " ").alias("numbers"), F.round(text.jaccard(F.array_distinct(text.tokens(claim)), F.array_distinct(text.tokens(F.col("title")))), 6).alias("title_overlap"),
+    )
+
+
+def _numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    value, unit = quantities.number_with_unit(F.col("claim"))
+    return _cards(spark, sf_dir).select("ingest_idx", F.round(value, 6).alias("value"), F.coalesce(unit, F.lit("")).alias("unit"))
+
+
+def _periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cards(spark, sf_dir).select("ingest_idx", quantities.period(F.col("title")).alias("period"))
+
+
+def _backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = evidence.backfilled(_cards(spark, sf_dir))
+    return out.select("ingest_idx", "claim", "source_domain", F.md5("snippet").alias("snippet_md5"), F.length("supporting_text").alias("supporting_length"))
+
+
+def _errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = evidence.with_errors(_cards(spark, sf_dir))
+    return out.select(F.explode("errors").alias("error")).groupBy("error").agg(F.count(F.lit(1)).alias("cards"))
+
+
+def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "text", "lang")
+    return docs.groupBy(F.coalesce(F.lower("lang"), F.lit("none")).alias("lang"), text.language_guess(F.col("text")).alias("guess")).agg(F.count(F.lit(1)).alias("documents"))
+
+
+def _on_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards whose claim shares at least a tenth of its words with the topic of their request."""
+    topics = summaries.first_delivery(table(spark, sf_dir, "research_requests").select("id", "topic", "created_at"), "id", "created_at").select(F.col("id").alias("request_id"), F.col("topic").alias("wanted"))
+    joined = _cards(spark, sf_dir).select("ingest_idx", "request_id", "claim").join(topics, "request_id")
+    overlap = text.jaccard(F.array_distinct(text.tokens(F.col("claim"))), F.array_distinct(text.tokens(F.col("wanted"))))
+    return joined.withColumn("overlap", F.round(overlap, 6)).where(F.col("overlap") >= 0.1).select("ingest_idx", "overlap")
+
+
+def _events_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windowed counts of events: per hour and type."""
+    ev = table(spark, sf_dir, "events", "ts", "event_type", "value")
+    return ev.groupBy(F.date_trunc("hour", "ts").alias("hour"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+def _numeric_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.numeric_claims(_cards(spark, sf_dir)).groupBy("unit", "period").agg(F.count(F.lit(1)).alias("claims"), F.round(F.min("value"), 4).alias("low"), F.round(F.max("value"), 4).alias("high"))
+
+
+_PERIOD = (
+    r"coalesce(upper(nullif(regexp_extract({0}, '\b([Qq][1-4])\s*20\d{{2}}\b', 1), '')) || ' ' || regexp_extract({0}, '\b[Qq][1-4]\s*(20\d{{2}})\b', 1), "
+    r"case lower(regexp_extract({0}, '(?i)\b(first|second)\s+half\s+(?:of\s+)?20\d{{2}}\b', 1)) when 'first' then 'H1' when 'second' then 'H2' end || ' ' || regexp_extract({0}, '(?i)\b(?:first|second)\s+half\s+(?:of\s+)?(20\d{{2}})\b', 1), "
+    r"nullif(regexp_extract({0}, '\b(20\d{{2}})\b', 1), ''))"
+)
+_CANONICAL = f"""
+with parts as (
+  select ingest_idx, regexp_replace(regexp_replace(url, '#.*$', ''), '\\?.*$', '') as base, url,
+    list_sort(list_filter(string_split(regexp_extract(regexp_replace(url, '#.*$', ''), '\\?(.*)$', 1), '&'),
+      lambda p: p <> '' and lower(string_split(p, '=')[1]) not in ({_sql_list(urls.TRACKING)}))) as kept
+  from evidence_cards),
+built as (select ingest_idx, url, case when len(kept) > 0 then base || '?' || array_to_string(kept, '&') else base end as u from parts),
+done as (select ingest_idx, url, case when u like '%/' and length(u) - length(replace(u, '/', '')) > 3 then regexp_replace(u, '/+$', '') else u end as canonical from built)
+select ingest_idx, canonical, {_DOMAIN} as domain, sha1(canonical) as url_id from done
+"""
+
+QUERIES: dict[str, SqlQuery] = {
+    "source_quality": (
+        lambda s, d: summaries.source_quality(_cards(s, d)),
+        f"""select coalesce(source_domain, 'unknown') as domain, count(*) as total_cards, count(distinct coalesce(claim, snippet, title)) as unique_claims,
+        round(avg(coalesce({_CRED}, 0.5)), 9) as avg_credibility, round(avg(coalesce({_CONF}, 0.5)), 9) as avg_confidence, min(date) as first_seen, max(date) as last_seen,
+        count(distinct provider) as provider_count, round(count(distinct coalesce(claim, snippet, title)) / count(*), 4) as uniqueness_ratio from evidence_cards group by 1""",
+    ),
+    "claim_triangulation": (
+        lambda s, d: summaries.claim_triangulation(_cards(s, d)),
+        """with c as (select claim, count(*) as n, count(distinct source_domain) as domains from evidence_cards where claim is not null group by 1 having count(*) >= 2)
+        select count(*) as total_claims, count(*) filter (domains >= 2) as on_two, count(*) filter (domains >= 3) as on_three, round(avg(domains), 4) as avg_domains, max(domains) as max_domains from c""",
+    ),
+    "evidence_counts": (
+        lambda s, d: summaries.evidence_counts(_cards(s, d)),
+        "select count(*) as cards, count(distinct source_domain) as source_domains, count(distinct provider) as providers, count(distinct claim) as claims, count(distinct request_id) as request_ids from evidence_cards",
+    ),
+    "quality_stats": (
+        lambda s, d: summaries.quality_stats(_cards(s, d)),
+        f"select round(avg(s), 6) as mean, round(stddev_samp(s), 6) as deviation, round(quantile_cont(s, 0.5), 6) as median, round(avg(f), 6) as confidence from (select {_CRED} as s, {_CONF} as f from evidence_cards)",
+    ),
+    "provider_distribution": (
+        lambda s, d: summaries.distribution(_cards(s, d), "provider", 10),
+        f"select provider, count(*) as cards, round(avg({_CRED}), 9) as avg_credibility from evidence_cards group by 1 order by 2 desc, 1 limit 10",
+    ),
+    "domain_distribution": (
+        lambda s, d: summaries.distribution(_cards(s, d), "source_domain", 10),
+        f"select source_domain, count(*) as cards, round(avg({_CRED}), 9) as avg_credibility from evidence_cards group by 1 order by 2 desc, 1 nulls last limit 10",
+    ),
+    "discipline_distribution": (
+        lambda s, d: summaries.distribution(_cards(s, d), "discipline"),
+        f"select discipline, count(*) as cards, round(avg({_CRED}), 9) as avg_credibility from evidence_cards group by 1",
+    ),
+    "stated_days": (
+        lambda s, d: summaries.stated_days(_cards(s, d)),
+        r"select min(d) as first_day, max(d) as last_day, count(distinct d) as days, count(d) as cards from (select case when regexp_full_match(date, '\d{4}-\d{2}-\d{2}') then date end as d from evidence_cards)",
+    ),
+    "schema_report": (
+        lambda s, d: summaries.schema_report(_cards(s, d), REQUIRED, SCORES),
+        " union all ".join(
+            f"select '{c}' as column, count(*) as rows, count({c}) as filled, round(count({c}) / count(*), 4) as coverage, count({_VALID.format(c) if c in SCORES else c}) as in_range from evidence_cards" for c in [*REQUIRED, *SCORES]
+        ),
+    ),
+    "cost_by_day": (
+        lambda s, d: summaries.cost_rollup(table(s, d, "cost_records")),
+        f"select date_trunc('day', recorded_at) as period, provider, operation, count(*) as records, round(sum(cost_usd), 6) as cost, sum(units) as units, count(*) filter (cost_usd < 0) as negative from {_FIRST_COSTS} group by 1, 2, 3",
+    ),
+    "running_cost": (
+        lambda s, d: summaries.running_cost(table(s, d, "cost_records")),
+        f"""with daily as (select provider, strftime(recorded_at, '%Y-%m-%d') as day, sum(cost_usd) as c from {_FIRST_COSTS} group by 1, 2)
+        select provider, day, round(c, 6) as cost, round(sum(c) over (partition by provider order by day rows unbounded preceding), 6) as total,
+        round(avg(c) over (partition by provider order by day rows between 6 preceding and current row), 6) as week_mean from daily""",
+    ),
+    "requests_with_counts": (
+        lambda s, d: summaries.requests_with_counts(table(s, d, "research_requests"), _cards(s, d), table(s, d, "cost_records")),
+        f"""with h as (select id, min(evidence_count) as stored, min(lower(status)) as status from research_requests group by 1),
+        c as (select request_id, count(*) as cards from (select * from evidence_cards qualify row_number() over (partition by id order by ingest_idx) = 1) where request_id is not null group by 1),
+        k as (select request_id, round(sum(cost_usd), 6) as cost from {_FIRST_COSTS} where request_id is not null group by 1)
+        select h.id as request_id, h.status, h.stored, coalesce(c.cards, 0) as cards, coalesce(k.cost, 0.0) as cost from h left join c on c.request_id = h.id left join k on k.request_id = h.id""",
+    ),
+    "url_forms": (_url_forms, _CANONICAL),
+    "works": (_works, None),
+    "claim_hashes": (
+        _hashes,
+        f"select ingest_idx, sha256({_CLAIM.format('claim')}) as claim_hash, md5({_CLAIM.format('claim')})[1:8] as claim_id, md5({_CLAIM.format('claim')})[1:16] as long_id from evidence_cards",
+    ),
+    "text_scalars": (
+        _scalars,
+        rf"""select ingest_idx, {_MASKED.format('claim')} as masked, array_to_string(list_filter({_TOKENS.format('claim')}, lambda w: w not in ({_sql_list(text.STOP_WORDS)})), ' ') as content_words,
+        case when length(claim) > 40 then claim[1:37] || '...' else claim end as short, array_to_string(list_sort(list_distinct(regexp_extract_all(coalesce(claim, ''), '(\d+(?:[.,]\d+)*)', 1))), ' ') as numbers,
+        round(case when len(list_distinct(list_concat({_TOKENS.format('claim')}, {_TOKENS.format('title')}))) = 0 then 0.0
+        else len(list_intersect(list_distinct({_TOKENS.format('claim')}), list_distinct({_TOKENS.format('title')}))) / len(list_distinct(list_concat({_TOKENS.format('claim')}, {_TOKENS.format('title')}))) end, 6) as title_overlap from evidence_cards""",
+    ),
+    "claim_numbers": (_numbers, None),
+    "title_periods": (_periods, f"select ingest_idx, {_PERIOD.format('title')} as period from evidence_cards"),
+    "backfilled_cards": (
+        _backfill,
+        f"""select ingest_idx, coalesce(nullif(claim, ''), nullif(title, ''), nullif(snippet, ''), '')[1:2000] as claim, coalesce(nullif(source_domain, ''), nullif({_DOMAIN}, ''), '') as source_domain,
+        md5(coalesce(nullif(snippet, ''), nullif(best_quote, ''), nullif(supporting_text, ''), nullif(claim, ''), nullif(title, ''), '')[1:500]) as snippet_md5,
+        length(coalesce(nullif(supporting_text, ''), nullif(snippet, ''), nullif(claim, ''), nullif(title, ''), '')[1:5000]) as supporting_length from evidence_cards""",
+    ),
+    "card_errors": (
+        _errors,
+        f"""with e as (select unnest([case when not coalesce(regexp_full_match(id, '[0-9a-fA-F]{{8}}(-[0-9a-fA-F]{{4}}){{3}}-[0-9a-fA-F]{{12}}'), false) then 'id' end,
+        case when not coalesce(regexp_matches(url, '^https?://'), false) then 'url' end, case when coalesce(trim(title), '') = '' then 'title' end, case when coalesce(trim(snippet), '') = '' then 'snippet' end,
+        case when provider is null then 'provider' end, case when ({_CRED}) is null then 'credibility_score' end, case when ({_REL}) is null then 'relevance_score' end,
+        case when coalesce(stance, 'neutral') <> 'neutral' and claim_id is null then 'stance_without_claim_id' end]) as error from evidence_cards)
+        select error, count(*) as cards from e where error is not null group by 1""",
+    ),
+    "best_per_claim": (
+        lambda s, d: evidence.best_per_key(_cards(s, d), F.nullif(text.normalised_claim(F.col("claim")), F.lit(""))),
+        f"""with k as (select nullif({_CLAIM.format('claim')}, '') as key, ingest_idx, {_CRED} as s from evidence_cards),
+        r as (select key, ingest_idx, row_number() over (partition by key order by s desc nulls last, ingest_idx) as rk, count(*) over (partition by key) as copies from k where key is not null)
+        select key, ingest_idx, copies from r where rk = 1""",
+    ),
+    "syndicated_texts": (
+        lambda s, d: evidence.syndicated(_cards(s, d)),
+        f"""select sha256({_CLAIM.format('snippet')})[1:16] as hash, count(*) as cards, count(distinct {_DOMAIN}) as domains from evidence_cards where {_CLAIM.format('snippet')} <> '' group by 1 having count(distinct {_DOMAIN}) > 1""",
+    ),
+    "ranked_cards": (
+        lambda s, d: evidence.ranked(_cards(s, d)),
+        f"""select ingest_idx, round(least(1.0, case when coalesce(is_primary_source, false) then b * 1.05 else b end), 6) as score
+        from (select ingest_idx, is_primary_source, cast(0.6 as double) * coalesce({_REL}, cast(0.5 as double)) + cast(0.3 as double) * coalesce({_CRED}, cast(0.5 as double)) + cast(0.05 as double) as b from evidence_cards)""",
+    ),
+    "top_per_request": (
+        lambda s, d: evidence.top_per_group(_cards(s, d), "request_id", GROUP_TOP),
+        f"select request_id, ingest_idx, rank from (select request_id, ingest_idx, row_number() over (partition by request_id order by {_CRED} desc nulls last, ingest_idx) as rank from evidence_cards) where rank <= {GROUP_TOP}",
+    ),
+    "provider_diversity": (
+        lambda s, d: evidence.provider_diversity(_cards(s, d)),
+        """with c as (select count(*) as n from evidence_cards where provider is not null group by provider), t as (select sum(n) as t, count(*) as k, max(n) as m from c),
+        h as (select -sum(n / t * log2(n / t)) as bits from c, t)
+        select k as providers, round(bits, 6) as bits, round(bits * ln(2), 6) as nats, round(case when k > 1 then bits / log2(k) else 0.0 end, 6) as evenness, round(m / t, 6) as top_share from t, h""",
+    ),
+    "numeric_claims": (_numeric_claims, None),
+    "numeric_consensus": (lambda s, d: evidence.consensus(evidence.numeric_claims(_cards(s, d))), None),
+    "text_statistics": (
+        lambda s, d: evidence.text_statistics(_cards(s, d)).drop("language"),
+        f"""select ingest_idx, length(coalesce(supporting_text, '')) as characters, len({_TOKENS.format('supporting_text')}) as words, len(regexp_extract_all(coalesce(supporting_text, ''), '[.!?]+')) as sentences,
+        len(list_distinct({_TOKENS.format('supporting_text')})) as distinct_words from evidence_cards""",
+    ),
+    "languages": (
+        _languages,
+        f"""with t as (select coalesce(lower(lang), 'none') as lang, {_TOKENS.format('text')} as w from documents),
+        n as (select lang, {", ".join(f"len(list_filter(w, lambda x: x in ({_sql_list(own)}))) as n_{k}" for k, own in text.LANGUAGE_WORDS.items())} from t)
+        select lang, case when greatest(n_en, n_es, n_fr, n_de) = 0 or n_en = greatest(n_en, n_es, n_fr, n_de) then 'en' when n_es = greatest(n_en, n_es, n_fr, n_de) then 'es'
+        when n_fr = greatest(n_en, n_es, n_fr, n_de) then 'fr' else 'de' end as guess, count(*) as documents from n group by 1, 2""",
+    ),
+    "reading_ease": (
+        lambda s, d: table(s, d, "documents").select("doc_id", F.round(text.reading_ease(F.col("text")), 4).alias("ease")),
+        """with t as (select doc_id, coalesce(text, '') as text, list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z]+'), lambda w: w <> '') as w from documents),
+        n as (select doc_id, len(w) as n, greatest(1, len(regexp_extract_all(text, '[.!?]+'))) as e, list_sum(list_transform(w, lambda x: greatest(1, len(regexp_extract_all(x, '[aeiouy]+'))))) as s from t)
+        select doc_id, round(case when n = 0 then 0.0 else greatest(0.0, least(100.0, cast(206.835 as double) - cast(1.015 as double) * n / e - cast(84.6 as double) * s / n)) end, 4) as ease from n""",
+    ),
+    "top_phrases": (
+        lambda s, d: evidence.phrases(_cards(s, d)),
+        f"""with w as (select ingest_idx, list_filter({_TOKENS.format('claim')}, lambda x: not regexp_full_match(x, '[0-9]+') and x not in ({_sql_list(text.STOP_WORDS)})) as w from evidence_cards),
+        p as (select unnest(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as phrase from w where len(w) >= 2)
+        select phrase, count(*) as texts from p group by 1 order by 2 desc, 1 limit 20""",
+    ),
+    "triangulated_union": (
+        lambda s, d: evidence.triangulated_union(_cards(s, d)),
+        f"""with r as (select ingest_idx, {_DOMAIN} as domain, 'claim' as kind, {_CLAIM.format('claim')} as key from evidence_cards
+        union all select ingest_idx, {_DOMAIN}, 'cluster', lower(trim(cluster_id)) from evidence_cards where coalesce(trim(cluster_id), '') <> ''),
+        g as (select kind, key from r where key <> '' group by 1, 2 having count(distinct domain) >= 2),
+        t as (select count(distinct ingest_idx) as triangulated from r join g using (kind, key))
+        select triangulated, (select count(*) from evidence_cards) as cards, round(triangulated / (select count(*) from evidence_cards), 6) as rate from t""",
+    ),
+    "on_topic_cards": (
+        _on_topic,
+        f"""with q as (select id, topic from research_requests qualify row_number() over (partition by id order by created_at) = 1),
+        j as (select ingest_idx, list_distinct({_TOKENS.format('claim')}) as a, list_distinct({_TOKENS.format('q.topic')}) as b from evidence_cards c join q on q.id = c.request_id),
+        o as (select ingest_idx, round(case when len(list_distinct(list_concat(a, b))) = 0 then 0.0 else len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) end, 6) as overlap from j)
+        select ingest_idx, overlap from o where overlap >= 0.1""",
+    ),
+    "events_by_hour": (
+        _events_sessions,
+        "select date_trunc('hour', ts) as hour, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2",
+    ),
+    "exact_copies": (
+        lambda s, d: near_duplicates.exact_classes(table(s, d, "documents", "doc_id", "text")),
+        "select doc_id, min(doc_id) over (partition by text) as class_id, count(*) over (partition by text) as copies from documents where text is not null",
+    ),
+    "near_duplicates": (lambda s, d: near_duplicates.near_duplicate_classes(table(s, d, "documents", "doc_id", "text")), None),
+    "vector_neighbours": (lambda s, d: neighbours.nearest(table(s, d, "embeddings", "vec_id", "embedding"), 5), None),
+    "p1_found": (p1_found, None),
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found}
+    return {name: query for name, (query, _) in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in QUERIES.items() if sql}
