@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardloom.functions import quantities, text, urls
+from cardloom.functions import privacy, quantities, text, urls
 from cardloom.operators import evidence, near_duplicates, neighbours, summaries
 from cardloom.operators.normalise_time import changed_times
 from cardloom.sources.tables import table
@@ -109,6 +110,15 @@ def _events_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.groupBy(F.date_trunc("hour", "ts").alias("hour"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
+def _revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A star join: line items are summed per supplier and year before they meet the dimensions."""
+    lines = table(spark, sf_dir, "lineitem", "l_suppkey", "l_shipdate", "l_extendedprice", "l_discount")
+    partial = lines.groupBy("l_suppkey", F.year("l_shipdate").alias("year")).agg(F.sum(F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")) * 10_000).cast("long")).alias("r"), F.count(F.lit(1)).alias("n"))
+    named = partial.join(table(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+    named = named.join(table(spark, sf_dir, "nation", "n_nationkey", "n_name"), F.col("s_nationkey") == F.col("n_nationkey"))
+    return named.groupBy("n_name", "year").agg((F.sum("r") / 10_000).alias("revenue"), F.sum("n").alias("lines"))
+
+
 def _numeric_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.numeric_claims(_cards(spark, sf_dir)).groupBy("unit", "period").agg(F.count(F.lit(1)).alias("claims"), F.round(F.min("value"), 4).alias("low"), F.round(F.max("value"), 4).alias("high"))
 
@@ -293,6 +303,20 @@ QUERIES: dict[str, SqlQuery] = {
     ),
     "near_duplicates": (lambda s, d: near_duplicates.near_duplicate_classes(table(s, d, "documents", "doc_id", "text")), None),
     "vector_neighbours": (lambda s, d: neighbours.nearest(table(s, d, "embeddings", "vec_id", "embedding"), 5), None),
+    "claim_classes": (lambda s, d: near_duplicates.near_duplicate_classes(_cards(s, d).select(F.col("ingest_idx").alias("doc_id"), F.col("claim").alias("text"))), None),
+    "redacted_texts": (
+        lambda s, d: _cards(s, d).select("ingest_idx", F.md5(privacy.redacted(F.col("supporting_text"))).alias("redacted_md5"), privacy.has_personal_data(F.col("supporting_text")).alias("personal")),
+        "select ingest_idx, md5("
+        + reduce(lambda inner, p: f"regexp_replace({inner}, '{p[1]}', '{p[0]}', 'g')", privacy.PATTERNS, "supporting_text")
+        + ") as redacted_md5, ("
+        + " or ".join(f"coalesce(regexp_matches(supporting_text, '{p}'), false)" for _, p in privacy.PATTERNS)
+        + ") as personal from evidence_cards",
+    ),
+    "revenue_by_nation": (
+        lambda s, d: _revenue(s, d),
+        """select n_name, cast(year(l_shipdate) as int) as year, sum(cast(round(l_extendedprice * (1 - l_discount) * 10000) as bigint)) / 10000 as revenue, count(*) as lines
+        from lineitem join supplier on s_suppkey = l_suppkey join nation on n_nationkey = s_nationkey group by 1, 2""",
+    ),
     "p1_found": (p1_found, None),
 }
 
