@@ -27,7 +27,7 @@ ROUNDS = 6
 PRIOR = 0.03
 #: Weight of the background distribution in that of residue and of clean text, as a share of their words. Rare words thus
 #: say little, and no word alone outweighs many.
-SMOOTH_RESIDUE, SMOOTH_CLEAN = 0.1, 0.01
+SMOOTH_RESIDUE, SMOOTH_CLEAN = 0.1, 0.005
 #: Share of a record's words that must be in positive passages.
 SHARE = 0.6
 #: Passages of up to so many words also count their neighbouring pairs.
@@ -139,7 +139,7 @@ def learn(texts: list[str], rounds: int = ROUNDS, prior: float = PRIOR) -> np.nd
         in_residue = (positive + SMOOTH_RESIDUE * positive.sum() * background) / ((1 + SMOOTH_RESIDUE) * max(1e-9, positive.sum()))
         in_clean = (negative + SMOOTH_CLEAN * negative.sum() * background) / ((1 + SMOOTH_CLEAN) * max(1e-9, negative.sum()))
         odds = np.where(seen & (in_clean > 0), np.log(np.where(seen, in_residue, 1.0)) - np.log(np.where(in_clean > 0, in_clean, 1.0)), 0.0)
-        share = np.clip(belief[len(trusted) :].mean() if len(every) > len(trusted) and r else prior, 0.001, 0.2)
+        share = np.clip(belief[len(trusted) :].mean() if len(every) > len(trusted) and r else prior, 0.01, 0.2)
         margin = np.bincount(row, weights=odds[index], minlength=len(every)) + np.log(share / (1 - share))
         belief = 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
         belief[: len(trusted)] = 1.0
