@@ -61,6 +61,7 @@ _PLACEHOLDER = re.compile(
 _MARKS = re.compile(r"[{\[<@%_$#]")
 _SPLIT = re.compile(r"(?<=[.!?…])[\"”»)]*\s+|\n+")
 _WORD = re.compile(r"[^\W_]+")
+_FIGURE = re.compile(r"^[^\d.!?]{2,60}?(?:\s?:\s|,\s|\s\()\s?[-+]?\d[\d.,\s\u00a0]*(?:%|percent|million|billion)?\)?$")
 _CODE = re.compile(r"(?=[a-f0-9]*[0-9])[a-f0-9]{6,}")
 _INSIDE = re.compile(r"^[{\[<%$#@_=(\s]+|[}\]>%@_)\s]+[sd]?$")
 
@@ -105,7 +106,9 @@ def passages(text: str | None) -> list[tuple[bool, list[int], int]]:
         text = _PLACEHOLDER.sub(lambda m: m.group() if m.group()[0] in "[<" else " ", text)
     for piece in _SPLIT.split(text):
         words = _WORD.findall(piece.lower())
-        if words:
+        if words and len(words) <= 8 and _FIGURE.match(piece.strip()):
+            out.append((False, [], len(words)))  # a complete label with its figure says nothing about residue
+        elif words:
             keys = [_word_key(w) for w in words]
             if len(keys) <= PAIRED:  # pairs tell short messages from short sentences; their key needs no text
                 keys += [(a * 31 + b * 17 + 7) & (FEATURES - 1) for a, b in zip(keys, keys[1:])]
