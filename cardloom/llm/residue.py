@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from cardloom.llm.samples import hash_sample
 
+#: Fields of evidence cards in which residue is looked for.
+FIELDS = ("snippet", "supporting_text")
 FEATURES = 1 << 17
 #: Bounds of the fit: texts of the sample, and characters of each that it sees.
 SAMPLE_TEXTS = 16_000
@@ -172,7 +174,7 @@ def residue_score(text: str | None, odds) -> float:
     return bad / words if words else 0.0
 
 
-def fitted(cards: DataFrame, fields: tuple[str, ...] = ("snippet", "supporting_text")) -> list[float]:
+def fitted(cards: DataFrame, fields: tuple[str, ...] = FIELDS) -> list[float]:
     """The model from a bounded sample of the texts of ``fields``, as a plain list."""
     chosen = hash_sample(cards.select("ingest_idx", *fields), ["ingest_idx"], SAMPLE_TEXTS // len(fields), SEED)
     rows = chosen.select(*[F.substring(f, 1, SAMPLE_CHARACTERS).alias(f) for f in fields]).collect()
@@ -186,7 +188,7 @@ def shared(spark: SparkSession, model: list[float]):
     return spark.sparkContext.broadcast(model)
 
 
-def residue_values(cards: DataFrame, fields: tuple[str, ...] = ("snippet", "supporting_text")) -> DataFrame:
+def residue_values(cards: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """(ingest_idx, field, score): values of ``fields`` that are residue, their page furniture aside.
 
     Null, empty and blank values are none; repeated rows are judged one by one; other columns are not read.

@@ -113,7 +113,7 @@ def _endings(cards: DataFrame, fields: tuple[str, ...]) -> DataFrame:
                         continue
                     body = main_text(text, titles[k]) if "\n" in text else text
                     found = ending(body, titles[k], tuple(columns[c][k] for c in sources if c != field))
-                    if found and residue.residue_score(body, odds) < residue.SHARE:
+                    if found and (field not in residue.FIELDS or residue.residue_score(body, odds) < residue.SHARE):
                         rows.append((ids[k], field, *found, len(text)))
             yield pd.DataFrame(rows, columns=["ingest_idx", "field", "kind", "token", "strong", "length"])
 
