@@ -162,3 +162,54 @@ def triangulated_union(cards: DataFrame) -> DataFrame:
     total = cards.agg(F.count(F.lit(1)).alias("cards"))
     both = covered.withColumn("cards", F.lit(0)).unionByName(total.withColumn("triangulated", F.lit(0))).agg(F.sum("triangulated").alias("triangulated"), F.sum("cards").alias("cards"))
     return both.withColumn("rate", F.round(F.when(F.col("cards") > 0, F.col("triangulated") / F.col("cards")).otherwise(0.0), 6))
+
+
+def claim_sentences(cards: DataFrame, source: str = "supporting_text", k: int = 2) -> DataFrame:
+    """(ingest_idx, position, sentence): up to ``k`` sentences per text that hold a number, those with a year first, then by position.
+
+    Works on one text at a time with array functions, so nothing is shuffled. Null and empty texts give nothing.
+    """
+    pieces = F.split(F.coalesce(source, F.lit("")), r"[.!?]\s+|\n+")
+    numbered = F.transform(pieces, lambda s, i: F.struct(F.when(s.rlike(r"\b(19|20)\d{2}\b"), 0).otherwise(1).alias("rank"), i.alias("position"), F.trim(s).alias("sentence")))
+    best = F.slice(F.array_sort(F.filter(numbered, lambda x: x["sentence"].rlike("[0-9]"))), 1, k)
+    return cards.select("ingest_idx", F.inline(best)).select("ingest_idx", "position", "sentence")
+
+
+def tone(cards: DataFrame, source: str = "supporting_text") -> DataFrame:
+    """(ingest_idx, positive, negative): shares of words of a positive and of a negative tone; 0 for texts without words."""
+    words = text.tokens(F.col(source))
+    share = lambda own: F.round(F.when(F.size(words) == 0, 0.0).otherwise(F.size(F.filter(words, lambda w: w.isin(own))) / F.size(words)), 6)
+    return cards.select("ingest_idx", share(text.POSITIVE).alias("positive"), share(text.NEGATIVE).alias("negative"))
+
+
+def stances(cards: DataFrame) -> DataFrame:
+    """Per claim id: cards per stance, domains, and the share of disputing cards; cards without a claim id are left out."""
+    rows = cards.where(F.col("claim_id").isNotNull())
+    counts = rows.groupBy("claim_id").agg(*[F.count_if(F.col("stance") == s).alias(s) for s in ("supports", "disputes", "neutral")], F.count(F.lit(1)).alias("cards"))
+    return counts.withColumn("disputed", F.round(F.col("disputes") / F.col("cards"), 6))
+
+
+def stance_totals(cards: DataFrame) -> DataFrame:
+    """Cards and distinct domains per discipline and stance, over distinct pairs so that no task holds a discipline's domains."""
+    pairs = cards.groupBy("discipline", "stance", urls.domain(F.col("url")).alias("domain")).agg(F.count(F.lit(1)).alias("n"))
+    return pairs.groupBy("discipline", "stance").agg(F.sum("n").alias("cards"), F.count(F.lit(1)).alias("domains"))
+
+
+def numeric_disagreements(claims: DataFrame, tolerance: float = 0.1) -> DataFrame:
+    """(metric, unit, period, low, high, domains): keys for which two domains state values that disagree, without forming pairs.
+
+    The widest gap between two domains has the smallest value of all or the largest of all at one end, so it suffices to set
+    each of these two against the extremes of the other domains. Values disagree beyond the relative tolerance.
+    """
+    keys = ["metric", "unit", "period"]
+    sides = claims.groupBy(*keys, "domain").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    ends = sides.groupBy(*keys).agg(F.min(F.struct("lo", "domain")).alias("a"), F.max(F.struct("hi", "domain")).alias("b"), F.count(F.lit(1)).alias("domains")).where(F.col("domains") > 1)
+    joined = sides.join(ends, keys).groupBy(*keys).agg(
+        F.first("a.lo").alias("lo"), F.first("b.hi").alias("hi"), F.first("domains").alias("domains"),
+        F.max(F.when(F.col("domain") != F.col("a.domain"), F.col("hi"))).alias("other_hi"), F.min(F.when(F.col("domain") != F.col("b.domain"), F.col("lo"))).alias("other_lo"),
+    )
+    apart = lambda low, high: F.col(high) - F.col(low) > tolerance * F.greatest(F.abs(high), F.abs(low), F.lit(1.0))
+    first = apart("lo", "other_hi")
+    return joined.where(first | apart("other_lo", "hi")).select(
+        *keys, F.when(first, F.col("lo")).otherwise(F.col("other_lo")).alias("low"), F.when(first, F.col("other_hi")).otherwise(F.col("hi")).alias("high"), "domains"
+    )

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Queries per block; a block travels as one row.
-BLOCK = 512
+BLOCK = 4096
 
 
 def nearest(vectors: DataFrame, k: int, every: int = 100) -> DataFrame:

@@ -303,6 +303,36 @@ QUERIES: dict[str, SqlQuery] = {
     ),
     "near_duplicates": (lambda s, d: near_duplicates.near_duplicate_classes(table(s, d, "documents", "doc_id", "text")), None),
     "vector_neighbours": (lambda s, d: neighbours.nearest(table(s, d, "embeddings", "vec_id", "embedding"), 5), None),
+    "claim_sentences": (
+        lambda s, d: evidence.claim_sentences(_cards(s, d)),
+        r"""with p as (select ingest_idx, unnest(string_split_regex(coalesce(supporting_text, ''), '[.!?]\s+|\n+')) as s, generate_subscripts(string_split_regex(coalesce(supporting_text, ''), '[.!?]\s+|\n+'), 1) - 1 as position from evidence_cards),
+        r as (select ingest_idx, position, trim(s) as sentence, row_number() over (partition by ingest_idx order by case when regexp_matches(s, '\b(19|20)\d{2}\b') then 0 else 1 end, position) as rk from p where regexp_matches(s, '[0-9]'))
+        select ingest_idx, position, sentence from r where rk <= 2""",
+    ),
+    "tone": (
+        lambda s, d: evidence.tone(_cards(s, d)),
+        f"""with t as (select ingest_idx, {_TOKENS.format('supporting_text')} as w from evidence_cards)
+        select ingest_idx, round(case when len(w) = 0 then 0.0 else len(list_filter(w, lambda x: x in ({_sql_list(text.POSITIVE)}))) / len(w) end, 6) as positive,
+        round(case when len(w) = 0 then 0.0 else len(list_filter(w, lambda x: x in ({_sql_list(text.NEGATIVE)}))) / len(w) end, 6) as negative from t""",
+    ),
+    "stances": (
+        lambda s, d: evidence.stances(_cards(s, d)),
+        """select claim_id, count(*) filter (stance = 'supports') as supports, count(*) filter (stance = 'disputes') as disputes, count(*) filter (stance = 'neutral') as neutral, count(*) as cards,
+        round(count(*) filter (stance = 'disputes') / count(*), 6) as disputed from evidence_cards where claim_id is not null group by 1""",
+    ),
+    "stance_totals": (
+        lambda s, d: evidence.stance_totals(_cards(s, d)),
+        f"select discipline, stance, count(*) as cards, count(distinct {_DOMAIN}) as domains from evidence_cards group by 1, 2",
+    ),
+    "numeric_disagreements": (lambda s, d: evidence.numeric_disagreements(evidence.numeric_claims(_cards(s, d))), None),
+    "sites_without_cards": (
+        lambda s, d: table(s, d, "source_profiles", "site").subtract(_cards(s, d).select(urls.domain(F.col("url")).alias("site"))),
+        f"select site from source_profiles except select {_DOMAIN} from evidence_cards",
+    ),
+    "sites_in_both": (
+        lambda s, d: table(s, d, "source_profiles", "site").intersect(_cards(s, d).select(urls.domain(F.col("url")).alias("site"))),
+        f"select site from source_profiles intersect select {_DOMAIN} from evidence_cards",
+    ),
     "claim_classes": (lambda s, d: near_duplicates.near_duplicate_classes(_cards(s, d).select(F.col("ingest_idx").alias("doc_id"), F.col("claim").alias("text"))), None),
     "redacted_texts": (
         lambda s, d: _cards(s, d).select("ingest_idx", F.md5(privacy.redacted(F.col("supporting_text"))).alias("redacted_md5"), privacy.has_personal_data(F.col("supporting_text")).alias("personal")),

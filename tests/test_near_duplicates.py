@@ -59,3 +59,19 @@ def test_neighbours_equal_brute_force(spark):
         scores = np.round((unit @ unit[q]).astype("float64"), 6)
         scores[q] = -9
         assert got[got.query_id == q].sort_values("rank").vec_id.tolist() == np.argsort(-scores, kind="stable")[:4].tolist()
+
+
+def test_disagreements_equal_brute_force(spark):
+    from itertools import combinations
+
+    from cardloom.operators.evidence import consensus, numeric_disagreements
+
+    rng = random.Random(9)
+    rows = [(f"m{rng.randrange(40)}", "", "2020", f"d{rng.randrange(4)}", float(rng.choice([10, 10.5, 11, 12, 30]))) for _ in range(150)]
+    df = spark.createDataFrame(rows, "metric string, unit string, period string, domain string, value double")
+    want = {a[0] for a, b in combinations(rows, 2) if a[0] == b[0] and a[3] != b[3] and abs(a[4] - b[4]) > 0.1 * max(a[4], b[4], 1.0)}
+    assert {r.metric for r in numeric_disagreements(df).collect()} == want
+    arrivals = spark.createDataFrame([("arrivals", "", "2024", d, v) for d, v in [("a", 5.0), ("b", 5.1), ("c", 9.0)]], df.schema)
+    row = consensus(arrivals).first()
+    assert (row.median, row.support, row.dissent, row.domains, row.triangulated) == (5.1, 2, 1, 3, True)
+    assert consensus(arrivals.limit(0)).count() == numeric_disagreements(arrivals.limit(0)).count() == 0
