@@ -20,15 +20,19 @@ from pyspark.sql import functions as F
 
 from cardloom.functions.sites import with_site
 from cardloom.llm import residue
-from cardloom.llm.boilerplate import DENSE, STOP_WORDS, main_text
+from cardloom.llm.boilerplate import STOP_WORDS, main_text
 from cardloom.session import bounded, cut
 
 #: Occurrences from which a word counts as known, final tokens of open values aside.
 KNOWN = 3
+#: A token also counts as unknown if the words that it begins are more than so many times as frequent (single letters, "th").
+RARE = 100
 #: Longest word that enters the trie.
 LONGEST = 40
 #: A length is a limit if at least this many values of the field have it, and this share of them is open or marked.
 LIMIT_VALUES, LIMIT_SHARE = 8, 0.5
+#: Share of stop words from which a piece of at least four words is running text.
+RUNNING = 0.12
 
 _ENDED = re.compile(r"[.!?。！？]\s*[\"”“»«’')\]]*$")
 _ELLIPSIS_QUOTED = re.compile(r"(?:\.\.\.|…)\s*[\"”»’]+$")
@@ -85,7 +89,7 @@ def ending(text: str | None, title: str | None, others: tuple[str | None, ...] =
     if _headline(bare, title) or _headline(last, title) or _FIGURE.match(last) or _ROW.match(last):
         return None
     words = _WORDS.findall(bare.lower())
-    running = len(words) >= 4 and (sum(w in STOP_WORDS for w in words) / len(words) >= DENSE or len(words) >= 6 and ", " in last)
+    running = len(words) >= 4 and (sum(w in STOP_WORDS for w in words) / len(words) >= RUNNING or len(words) >= 6 and ", " in last)
     running = running or text[-1:] == " " or bare.count("(") > bare.count(")") or bare.count("„") + bare.count("“") + bare.count("«") > bare.count("”") + bare.count("»") + bare.count("“")
     final = _FINAL.search(bare)
     return "open", final.group(1).lower() if final else "", bool(goes_on or running or _INNER_END.search(bare))
@@ -128,10 +132,11 @@ def vocabulary(texts: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def trie(known: DataFrame) -> DataFrame:
-    """(prefix, words): the trie of the known words as a table of its inner nodes with the number of words below each."""
+    """(prefix, words, below): the trie of the known words (word, n) as a table of its inner nodes, with the number of words
+    below each and of their occurrences."""
     short = known.where(F.length("word").between(2, LONGEST))
     nodes = F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda k: F.substring(F.col("word"), F.lit(1), k))
-    return short.select(F.explode(nodes).alias("prefix")).groupBy("prefix").agg(F.count(F.lit(1)).alias("words"))
+    return short.select("n", F.explode(nodes).alias("prefix")).groupBy("prefix").agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("below"))
 
 
 def cut_values(cards: DataFrame, fields: tuple[str, ...] = ("snippet", "best_quote")) -> DataFrame:
@@ -146,9 +151,9 @@ def cut_values(cards: DataFrame, fields: tuple[str, ...] = ("snippet", "best_quo
     words = vocabulary(cards, ["title", "claim", "supporting_text", *fields])
     words = cut(words.join(final, "word", "left").withColumn("n", F.col("n") - F.coalesce(F.col("as_final"), F.lit(0))).select("word", "n").where(F.col("n") >= KNOWN))
     evidence = (
-        final.join(words.withColumn("known", F.lit(True)), "word", "left")
+        final.join(words, "word", "left")
         .join(trie(words).withColumnRenamed("prefix", "word"), "word", "left")
-        .select(F.col("word").alias("token"), (F.col("known").isNull() & F.col("words").isNotNull()).alias("cut_word"))
+        .select(F.col("word").alias("token"), (F.col("words").isNotNull() & (F.coalesce("n", F.lit(0)) * RARE < F.col("below"))).alias("cut_word"))
     )
     lengths = cards.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.length(f).alias("length")) for f in fields])).alias("v")).select("v.*")
     every = lengths.where(F.col("length").isNotNull()).groupBy("field", "length").agg(F.count(F.lit(1)).alias("values"))

@@ -129,9 +129,9 @@ def test_cut_values(spark):
 
 
 def test_trie(spark):
-    known = spark.createDataFrame([("report",), ("reported",), ("a",)], "word string")
-    nodes = {r.prefix: r.words for r in truncation.trie(known).collect()}
-    assert nodes["rep"] == 2 and nodes["report"] == 1 and "reported" not in nodes and "a" not in nodes
+    known = spark.createDataFrame([("report", 5), ("reported", 7), ("a", 9)], "word string, n long")
+    nodes = {r.prefix: (r.words, r.below) for r in truncation.trie(known).collect()}
+    assert nodes["rep"] == (2, 12) and nodes["report"] == (1, 7) and "reported" not in nodes and "a" not in nodes
 
 
 def test_bodies_keep_rows_and_columns(spark, data):
