@@ -4,7 +4,8 @@ First pass, each line by itself: the share of its text that is link-like (items
 consent notices, sharing and account functions), its length and the share of stop words make it *bad*, *good*, or, if it
 is short and says neither, undecided. Second pass: undecided lines take their label from context. Lines under the heading
 of a sidebar belong to it until running text returns; the title, and headings before running text, stay; runs of short
-items are menus; other lines inherit from the nearest decided neighbours, where a tie counts as content.
+items are menus; rows of a label and a figure are content, and so is a sentence, perhaps cut, in a value without other
+content; other lines inherit from the nearer decided neighbour, blank lines aside, where only a tie of both kinds is content.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ STOP_WORDS = set(
     "le la les un une des du de et ou ne pas avec dans sur par pour est sont a été au aux ce cette ces qui que se son sa ses en plus il elle à mais leur leurs nous vous ils elles entre depuis selon n l d s c qu "
     "el los las una unos y o no con del al por para es son fue que su sus lo como más en se ha han otra otro ninguna ningún hasta entre sobre desde según pero".split()
 )
-LONG, SHORT = 70, 30
+LONG = 70
 DENSE = 0.18
 
 # Entries of site menus, lower case, in en, de, fr, es.
@@ -76,6 +77,7 @@ _CUES = set(
 _TOKEN = re.compile(r"[^\s|·•>/,.:;()!?\"]+")
 _SEPARATORS = re.compile(r"\s+[|·•>»/‹›]\s+|\s{2,}|\t+")
 _ROW = re.compile(r"^[\w\s.,%()+-]*\d[\w\s.,%()+-]*$")
+_FIGURE = re.compile(r"^[^\W\d_][^\d|]*?(?:[:,]\s*|\s+\()\d[\d.,\s]*(?:%|[^\W\d_]+\.?)?\)?$")
 _BULLET = re.compile(r"^\s*(?:[-*•–]|\d{1,2}[.)])\s+\S")
 _END = re.compile(r"[.!?…][\"”»’')\]]*$")
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -102,6 +104,30 @@ def _stock(bare: str, low: str) -> bool:
 _SEEN: dict[str, str] = {}
 
 
+def _running(line: str) -> bool:
+    """Four words or more, one of them in lower case: a sentence, perhaps cut, and not a name."""
+    words = _WORDS.findall(line)
+    return len(words) >= 4 and any(w.islower() for w in words)
+
+
+def _inherited(labels: list[str]) -> list[str]:
+    """Labels in which undecided lines have that of the nearer decided one, the only one at the ends; a tie of both is ``good``."""
+    rows = [k for k, label in enumerate(labels) if label != "empty"]
+    nearest: dict[int, list[tuple[int, str]]] = {k: [] for k in rows if labels[k] == "short"}
+    for order in (rows, rows[::-1]):
+        away, last = 0, ""
+        for k in order:
+            away += 1
+            if k not in nearest:
+                away, last = 0, labels[k]
+            elif last:
+                nearest[k].append((away, last))
+    out = list(labels)
+    for k, found in nearest.items():
+        out[k] = "bad" if found and {label for away, label in found if away == min(found)[0]} == {"bad"} else "good"
+    return out
+
+
 def _first_pass(line: str, following: str) -> str:
     """``good``, ``bad``, ``side`` (heading of a sidebar), ``empty`` or ``short``."""
     label = _SEEN.get(line)
@@ -189,13 +215,11 @@ def furniture(text: str | None, title: str | None = None) -> list[int]:
         if j - i >= 4:
             labels[i:j] = ["bad"] * (j - i)
         i = max(j, i + 1)
-    decided = [k for k in range(n) if labels[k] in ("good", "bad")]
-    final = list(labels)
+    body = "good" in labels
     for k in range(n):
-        if labels[k] == "short":
-            before = next((labels[d] for d in reversed(decided) if d < k), None)
-            after = next((labels[d] for d in decided if d > k), None)
-            final[k] = "bad" if before == after == "bad" and "good" in labels and len(lines[k]) <= SHORT else "good"
+        if labels[k] == "short" and (_FIGURE.match(lines[k].strip()) or not body and _running(lines[k])):
+            labels[k] = "good"
+    final = _inherited(labels)
     return [k + 1 for k in range(n) if final[k] == "bad"]
 
 

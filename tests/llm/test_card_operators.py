@@ -106,6 +106,27 @@ def test_furniture():
     assert boilerplate.furniture("word " * 30_000, None) == []
 
 
+BODY = "The board of the town said that the costs had risen by a fifth."
+
+
+@pytest.mark.parametrize(
+    "text, lines",
+    [
+        (f"Halsk Courier online edition\nHome | News | Sign in\n{BODY}", [1, 2]),  # undecided at the head and at the foot
+        (f"{BODY}\nAdvertisement\nPhotograph: Ann Ostby", [2, 3]),
+        (f"{BODY}\nAdvertisement\nHalsk Courier Media Holding Group, Tovstad office\n© 2020 Board", [2, 3, 4]),  # over 30 characters
+        (f"Advertisement\nHalsk Courier Media Holding Group, Tovstad office\n\nTown desk\nBackground\n{BODY}", [1, 2]),  # the nearer one; a tie is content
+        (f"Advertisement\n\nBackground\n{BODY}", [1]),
+        ("Advertisement\nHalsk (43.5 million)", [1]),  # a data row, and a cut sentence as the only content
+        ("Home | News | Sign in\nHalsk Council lists 1,796 open", [1]),
+        (f"{BODY}\nAdvertisement\nHalsk: 32,338", [2]),
+        ("Background\nTown desk", []),  # nothing is decided
+    ],
+)
+def test_undecided_lines_follow_the_nearer_neighbour(text, lines):
+    assert boilerplate.furniture(text, None) == lines
+
+
 @pytest.mark.parametrize(
     "text, kind",
     [
