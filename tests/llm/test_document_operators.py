@@ -102,6 +102,16 @@ def test_harmless(classifier, text):
     assert toxicity.worst_margin(text, *classifier)[0] < 0
 
 
+@pytest.mark.parametrize("around", [10, 100, 1000])
+def test_toxic_inside_long_text_without_stops(around):
+    toxic, weights = "you are a stupid idiot and a worthless moron", np.zeros(toxicity.FEATURES)
+    harmless = [f"harmless{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(2 * around)]
+    weights[np.concatenate([toxicity.features(w) for w in harmless])] = -0.1
+    weights[toxicity.features(toxic)] = 5.0
+    assert toxicity.worst_margin(" ".join(harmless), weights, -6.0)[0] < 0
+    assert toxicity.worst_margin(" ".join([*harmless[:around], toxic, *harmless[around:]]), weights, -6.0)[0] > 0
+
+
 def test_toxicity_edges(spark):
     docs = spark.createDataFrame([(1, None, None), (2, "", "s"), (3, "You are a stupid idiot.", "s")], "doc_id long, text string, source string")
     labels = spark.createDataFrame([(3, None), (3, 1), (9, 0)], "doc_id long, toxic int")
