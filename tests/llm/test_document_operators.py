@@ -112,6 +112,17 @@ def test_toxic_inside_long_text_without_stops(around):
     assert toxicity.worst_margin(" ".join([*harmless[:around], toxic, *harmless[around:]]), weights, -6.0)[0] > 0
 
 
+def test_sentence_sample_covers_all_documents(spark):
+    rows = [(i, " ".join(f"Sentence {k} of text {i}." for k in range(50))) for i in range(400)]
+    rows += [(400, "word " * 5_000 + "ends. The last sentence of the longest text."), (401, None), (402, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert "The last sentence of the longest text." in toxicity.sentence_sample(docs, 1_000_000)
+    got = toxicity.sentence_sample(docs, 4_000)
+    early = sum(int(s.rstrip(".").rsplit(" ", 1)[1]) < 200 for s in got if s.startswith("Sentence"))
+    assert 3_500 < len(got) < 4_500 and 0.4 < early / len(got) < 0.6
+    assert got == toxicity.sentence_sample(docs.repartition(5), 4_000)
+
+
 def test_toxicity_edges(spark):
     docs = spark.createDataFrame([(1, None, None), (2, "", "s"), (3, "You are a stupid idiot.", "s")], "doc_id long, text string, source string")
     labels = spark.createDataFrame([(3, None), (3, 1), (9, 0)], "doc_id long, toxic int")
