@@ -24,8 +24,8 @@ from cardloom.functions.words import with_shingles
 from cardloom.session import bounded, cut
 
 SHINGLE = 5
-#: Share of an item's shingles that a document must hold to be verified. A copy of half of the words in which every sixth
-#: or so is changed still keeps it; the verification, not this share, decides.
+#: Share of an item's shingles that a document must hold to be verified. Stricter than the verification where changes are
+#: dense: evenly changed copies are missed from every fifth word in a whole copy, every sixth in a copy of half of the words.
 REQUIRED = 0.12
 RUN = 3
 CONTAINMENT = 0.5
