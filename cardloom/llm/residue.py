@@ -1,9 +1,14 @@
 """Template residue, filler, error-page text and script notices, by positive-unlabelled naive Bayes (problem 4).
 
 A text is divided into passages: each unfilled placeholder is one of its own, the rest are sentences and lines. A naive
-Bayes model over hashed words is learned by expectation-maximization: trusted error, filler and placeholder records stay
-positive, all other passages begin as clean with a small prior and are re-estimated. Every passage is then scored. A record
-is residue if a placeholder passage is positive, or if most of the words of its passages are in positive ones.
+Bayes model over hashed words is learned by expectation-maximization. Residue is a mixture of kinds (failures, script
+notices, filler, Latin filler, program text; placeholders are judged among themselves), each with its own distribution:
+trusted records keep their kind, all other passages begin as clean with a small prior and are re-estimated. Every passage
+is then scored. A record is residue if a placeholder passage is, or if most of the words of its passages are in such ones.
+
+The trusted records are written from public grammars (``trusted.py``), not from any table. Word counts cover all passages
+of all rows: one pass adds them up, a second finds the passages that the first estimate does not rule out, and the further
+rounds work on these alone, as the others add nothing to the counts of residue.
 """
 
 from __future__ import annotations
@@ -17,16 +22,19 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardloom.llm.samples import hash_sample
+from cardloom.llm.trusted import KINDS, trusted_records
+from cardloom.session import cut
 
 #: Fields of evidence cards in which residue is looked for.
 FIELDS = ("snippet", "supporting_text")
-FEATURES = 1 << 17
-#: Bounds of the fit: texts of the sample, and characters of each that it sees.
-SAMPLE_TEXTS = 16_000
-SAMPLE_CHARACTERS = 4_000
+#: Hashed features of words and word pairs, and after them those of placeholders.
+FEATURES, MARKS = 1 << 17, 1 << 12
 ROUNDS = 6
-PRIOR = 0.03
+#: First share of a kind of residue among passages, and of residue among bracketed pieces; bounds of the later estimates.
+PRIOR, MARK_PRIOR = 0.01, 0.5
+LEAST, MOST = 0.002, 0.2
+#: Log odds under the first estimate below which a passage counts as clean in all rounds (a belief of 0.0003).
+RULED_OUT = -8.0
 #: Weight of the background distribution in that of residue and of clean text, as a share of their words. Rare words thus
 #: say little, and no word alone outweighs many.
 SMOOTH_RESIDUE, SMOOTH_CLEAN = 0.1, 0.005
@@ -34,28 +42,8 @@ SMOOTH_RESIDUE, SMOOTH_CLEAN = 0.1, 0.005
 SHARE = 0.6
 #: Passages of up to so many words also count their neighbouring pairs.
 PAIRED = 12
-SEED = 7_411
-
-# Trusted records, in natural wording.
-TRUSTED = [
-    "Please enable JavaScript to view this content.", "JavaScript is disabled. Switch it on and reload.", "You need to enable JavaScript to run this app.", "This page does not work without scripts. Loading...",
-    "Scripts are required to display comments, figures and text on this page.", "We've detected that your browser blocks scripts; nothing can be shown.", "This app needs scripts. Allow them in your settings, then press F5.",
-    "You need a browser with scripting turned on to use this application.", "Content is loaded dynamically and your client does not support it.", "<noscript>Turn on scripting for the full article.</noscript>",
-    "Bitte aktivieren Sie JavaScript, um diese Seite anzuzeigen.", "Ohne Skripte kann dieser Inhalt nicht geladen werden.", "Veuillez activer JavaScript pour afficher cette page.", "Ce contenu nécessite un navigateur acceptant les scripts.",
-    "Active JavaScript para ver esta página.", "Este contenido requiere un navegador con scripts habilitados.",
-    "404 Not Found", "Page not found", "The page you were looking for has moved or no longer exists.", "Oops! The page you requested could not be found.", "Whoops, this link is broken!", "The requested URL was not found on this server.", "The requested resource page is gone (status 410).",
-    "Access Denied. You do not have permission to view this page. Incident 9750ec38", "403 Forbidden", "Your request was blocked by the firewall. Ticket 6feb4f47", "Too many requests from your network. Try again in 20 minutes.", "Verify that you are human to proceed.", "Checking your browser before you continue. This takes about 5 seconds. Ray 3769a8de",
-    "500 Internal Server Error", "502 Bad Gateway", "502 Bad Gateway nginx/1.18", "502 Bad Gateway proxy/1.2", "503 Service Unavailable", "504 Gateway Timeout", "HTTP Error 500. The request could not be completed.", "Service temporarily unavailable while we carry out maintenance.", "Sorry, something went wrong on our end. Error code: fb1d7f5a", "We couldn't load this article. Refresh the page or come back later.",
-    "This site can't be reached. The connection timed out.", "Invalid security certificate. Proceed at your own risk.", "Session expired, please log in again.", "No results. The feed returned an empty response.", "Quota exceeded for project f8eccb6e", "Database connection failed (errno 111).",
-    "SQL error near 'user' at line 2", "Fatal error: call to undefined function get_article() on line 459", "Traceback (most recent call last): line 458, in render KeyError: 'title'", '{"error": {"code": 500, "message": "upstream timed out"}}', "Contact the administrator if this persists.", "Go back to the homepage.", "(c) web server", "Code 823831",
-    "Seite nicht gefunden. Die angeforderte Adresse existiert nicht.", "Fehler 500: Der Dienst ist vorübergehend nicht erreichbar.", "Zugriff verweigert. Vorgang 2136976f", "Page introuvable. L'adresse demandée n'existe plus.", "Erreur 500 : service momentanément indisponible.", "Accès refusé. Référence a138f5bf",
-    "Página no encontrada. La dirección solicitada ya no existe.", "Error 500: servicio no disponible por el momento.", "Acceso denegado. Referencia 1a6f8a57",
-    "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua.", "Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat.", "Duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur.", "Lorem lorem ipsum ipsum dolor dolor sed sed.",
-    "Dummy copy. Dummy copy. Dummy copy.", "Sample paragraph for layout purposes only. Replace before publishing.", "Your text here.", "Title Subtitle Body text", "Insert text here", "Description coming soon", "Coming soon", "TODO: write summary", "TBD", "asdf asdf", "test test test", "null null null", "undefined", "NaN%", "[object Object]", "None None", "function() { return undefined; }", "var x = document.getElementById('content');",
-    "{{title}}", "{{ item.value }}", "{title}", "${title}", "#{title}", "[[title]]", "%(title)s", "@@title@@", "__title__", "<%= title %>", "{% block title %}", "[INSERT name HERE]", "[add source]", "[add name here]", "[name TBD]", "[your name]", "<your name here>", "<insert quote>",
-]
-#: Times that each trusted record counts.
-TRUSTED_COPIES = 3
+#: Words that the trusted records of a kind count for together, as a share of all words of the fit, at least.
+TRUSTED_SHARE = 0.0005
 
 _PLACEHOLDER = re.compile(
     r"\{\{[^{}]{1,80}\}\}|\{%[^%]{1,80}%\}|<%=?[^%]{1,80}%>|[$#]\{[^{}]{1,80}\}|\{[A-Za-z_][^{}]{0,60}\}|\[\[[^\[\]]{1,80}\]\]|\[[^\[\]]{1,80}\]|%\([^()]{1,60}\)[sd]|@@[^@\s]{1,60}@@|__[^_\s](?:[^\s]{0,58}[^_\s])?__|<[A-Za-z][^<>]{1,60}>"
@@ -63,7 +51,7 @@ _PLACEHOLDER = re.compile(
 _MARKS = re.compile(r"[{\[<@%_$#]")
 _SPLIT = re.compile(r"(?<=[.!?…])[\"”»)]*\s+|\n+")
 _WORD = re.compile(r"[^\W_]+")
-_FIGURE = re.compile(r"^[^\d.!?]{2,60}?(?:\s?:\s|,\s|\s\()\s?[-+]?\d[\d.,\s\u00a0]*(?:%|percent|million|billion)?\)?$")
+_FIGURE = re.compile(r"^[^\d.!?]{2,60}?(?:\s?:\s|,\s|\s\()\s?[-+]?\d[\d.,\s ]*(?:%|percent|million|billion)?\)?$")
 _CODE = re.compile(r"(?=[a-f0-9]*[0-9])[a-f0-9]{6,}")
 _INSIDE = re.compile(r"^[{\[<%$#@_=(\s]+|[}\]>%@_)\s]+[sd]?$")
 
@@ -72,118 +60,233 @@ def _key(text: str) -> int:
     return zlib.crc32(text.encode()) & (FEATURES - 1)
 
 
-_WORDS: dict[str, int] = {}
+class Words(dict):
+    """Feature of each word, kept as long as there are not too many; all numbers are one word, and all codes."""
 
-
-def _word_key(word: str) -> int:
-    key = _WORDS.get(word)
-    if key is None:
-        if len(_WORDS) > 300_000:
-            _WORDS.clear()
+    def __missing__(self, word: str) -> int:
+        if len(self) > 300_000:
+            self.clear()
         kind = "0" if word.isdigit() else "hex" if _CODE.fullmatch(word) else word
-        key = _WORDS[word] = _key("w " + kind)
-    return key
+        key = self[word] = _key("w " + kind)
+        return key
+
+
+def _mark_key(text: str) -> int:
+    return FEATURES + (zlib.crc32(text.encode()) & (MARKS - 1))
 
 
 def _placeholder_keys(mark: str) -> list[int]:
-    """Features of a bracketed piece: its brackets with the kind of its inside, and for several words the first and last."""
+    """Features of a bracketed piece, each a passage of its own: its brackets with the kind of its inside, or for several
+    words the first and the last, either of which may tell a note to the editor."""
     inside = _INSIDE.sub("", mark)
     words = _WORD.findall(inside.lower())
     opening = re.match(r"\{\{|\{%|<%|[$#]\{|\[\[|%\(|@@|__|.", mark).group()
     kind = "name" if re.fullmatch(r"[A-Za-z_][\w.\- ]*", inside) else "other"
     if opening in "[<":
         if not words:
-            return [_key("b empty " + opening)]
-        return [_key(f"b first {opening} {words[0]}"), _key(f"b last {opening} {words[-1]}")] if len(words) > 1 else [_key(f"b one {opening}")]
-    return [_key(f"b {opening} {kind}")]
-
-
-def passages(text: str | None) -> list[tuple[bool, list[int], int]]:
-    """(is a placeholder, features, words) of each passage of a text; null and blank texts have none."""
-    text = text or ""
-    out = []
-    if _MARKS.search(text):
-        for mark in _PLACEHOLDER.findall(text):
-            out.append((True, _placeholder_keys(mark), 1))
-        text = _PLACEHOLDER.sub(lambda m: m.group() if m.group()[0] in "[<" else " ", text)
-    for piece in _SPLIT.split(text):
-        words = _WORD.findall(piece.lower())
-        if words and len(words) <= 8 and _FIGURE.match(piece.strip()):
-            out.append((False, [], len(words)))  # a complete label with its figure says nothing about residue
-        elif words:
-            keys = [_word_key(w) for w in words]
-            if len(keys) <= PAIRED:  # pairs tell short messages from short sentences; their key needs no text
-                keys += [(a * 31 + b * 17 + 7) & (FEATURES - 1) for a, b in zip(keys, keys[1:])]
-            out.append((False, keys, len(words)))
+            return [_mark_key("b empty " + opening)]
+        return [_mark_key(f"b first {opening} {words[0]}"), _mark_key(f"b last {opening} {words[-1]}")] if len(words) > 1 else [_mark_key(f"b one {opening}")]
+    return [_mark_key(f"b {opening} {kind}")]
+
+
+class Passages:
+    """The passages of many texts as flat arrays: per passage its text (``owner``), whether it is a placeholder (``mark``)
+    and its ``words``; per feature its ``key`` and the passage (``row``). Null and blank texts have none."""
+
+    def __init__(self, texts: list[str | None], words: Words | None = None):
+        known = Words() if words is None else words
+        owner: list[int] = []
+        marks: list[bool] = []
+        counts: list[int] = []
+        sizes: list[int] = []
+        keys: list[int] = []
+        for k, text in enumerate(texts):
+            if not text:
+                continue
+            if _MARKS.search(text):
+                for piece in _PLACEHOLDER.findall(text):
+                    for key in _placeholder_keys(piece):
+                        owner.append(k), marks.append(True), counts.append(1), sizes.append(1)
+                        keys.append(key)
+                text = _PLACEHOLDER.sub(lambda m: m.group() if m.group()[0] in "[<" else " ", text)
+            for piece in _SPLIT.split(text):
+                found = _WORD.findall(piece.lower())
+                if not found:
+                    continue
+                owner.append(k), marks.append(False), counts.append(len(found))
+                if len(found) <= 8 and _FIGURE.match(piece.strip()):
+                    sizes.append(0)  # a complete label with its figure says nothing about residue
+                else:
+                    sizes.append(len(found))
+                    keys += [known[w] for w in found]
+        self.owner, self.mark, self.words = np.array(owner, dtype=np.int64), np.array(marks, dtype=bool), np.array(counts, dtype=np.int64)
+        size = np.array(sizes, dtype=np.int64)
+        key = np.array(keys, dtype=np.int64)
+        row = np.repeat(np.arange(len(size)), size)
+        # neighbouring pairs tell short messages from short sentences
+        paired = (row[1:] == row[:-1]) & ~self.mark[row[1:]] & (size[row[1:]] <= PAIRED) if len(key) > 1 else np.zeros(0, dtype=bool)
+        pairs = (key[:-1][paired] * 31 + key[1:][paired] * 17 + 7) & (FEATURES - 1) if len(key) > 1 else key[:0]
+        self.key = np.concatenate([key, pairs])
+        self.row = np.concatenate([row, row[1:][paired] if len(key) > 1 else row[:0]])
+
+    def __len__(self) -> int:
+        return len(self.owner)
+
+    def margins(self, odds: np.ndarray) -> np.ndarray:
+        """Log odds of each kind of residue per passage, one row per kind."""
+        return _margins(self.key, self.row, len(self), self.mark, odds)
+
+
+def _margins(key: np.ndarray, row: np.ndarray, n: int, mark: np.ndarray, odds: np.ndarray) -> np.ndarray:
+    sums = np.stack([np.bincount(row, weights=kind[key], minlength=n) for kind in odds])
+    return sums + np.where(mark, odds[:, -1:], odds[:, -2:-1])
+
+
+def _beliefs(margins: np.ndarray) -> np.ndarray:
+    """Share of each kind in each passage, clean (log odds 0) being one more kind."""
+    top = np.maximum(margins.max(axis=0), 0.0)
+    each = np.exp(np.maximum(margins - top, -60.0))
+    return each / (each.sum(axis=0) + np.exp(-top))
+
+
+def _odds(positive: np.ndarray, total: np.ndarray, shares: np.ndarray, mark_share: float, first: bool = False) -> np.ndarray:
+    """Log odds against clean per kind and feature, then those of the priors of passages and of placeholders.
+
+    ``positive`` has one row of counts per kind, the last one for placeholders, whose features are normalised apart. Features
+    that neither side has get 0. At ``first`` all passages but the trusted ones count as clean, and of bracketed pieces, most
+    of which are residue, those without a trusted feature.
+    """
+    out = np.zeros((len(positive), len(total)))
+    clean = np.maximum(total - positive.sum(axis=0), 0.0)
+    for part, kinds in ((slice(0, FEATURES), range(len(positive) - 1)), (slice(FEATURES, FEATURES + MARKS), [len(positive) - 1])):
+        whole, rest = total[part], clean[part]
+        if first and part.start:
+            rest = np.where(positive[-1, part] > 0, 0.0, whole)
+        background = whole / max(1.0, whole.sum())
+        in_clean = (rest + SMOOTH_CLEAN * rest.sum() * background) / ((1 + SMOOTH_CLEAN) * max(1e-9, rest.sum()))
+        for k in kinds:
+            own = positive[k, part]
+            in_kind = (own + SMOOTH_RESIDUE * own.sum() * background) / ((1 + SMOOTH_RESIDUE) * max(1e-9, own.sum()))
+            known = (whole > 0) & (in_clean > 0) & (in_kind > 0)
+            out[k, part] = np.where(known, np.log(np.where(known, in_kind, 1.0)) - np.log(np.where(known, in_clean, 1.0)), 0.0)
+    prior = np.append(np.log(shares / (1 - shares)), -60.0)  # words are of no placeholder, placeholders of no other kind
+    marks = np.append(np.full(len(shares), -60.0), np.log(mark_share / (1 - mark_share)))
+    return np.hstack([out, prior[:, None], marks[:, None]])
+
+
+def residue_scores(texts: list[str | None], odds: np.ndarray, words: Words | None = None) -> np.ndarray:
+    """Per text 1 if a placeholder passage is residue, else the share of words in such passages; 0 for null and blank ones."""
+    found = Passages(texts, words)
+    out = np.zeros(len(texts))
+    if not len(found):
+        return out
+    positive = _beliefs(found.margins(odds)).sum(axis=0) > 0.5
+    plain = ~found.mark
+    every = np.bincount(found.owner[plain], weights=found.words[plain], minlength=len(texts))
+    bad = np.bincount(found.owner[plain & positive], weights=found.words[plain & positive], minlength=len(texts))
+    np.divide(bad, every, out=out, where=every > 0)
+    out[found.owner[found.mark & positive]] = 1.0
     return out
 
 
-def learn(texts: list[str], rounds: int = ROUNDS, prior: float = PRIOR) -> np.ndarray:
-    """Log odds per feature, by expectation-maximization over the passages of trusted records and of ``texts``.
+def residue_score(text: str | None, odds: np.ndarray) -> float:
+    """The score of one text, see :func:`residue_scores`."""
+    return float(residue_scores([text], odds)[0])
 
-    Features that neither side has get 0. The last entry is the log odds of the prior.
-    """
-    trusted = [p for record in TRUSTED for p in passages(record)] * TRUSTED_COPIES
-    # placeholder passages outside the trusted syntaxes must be able to stay clean, so they take part as unlabelled ones
-    unlabelled = [p for text in texts for p in passages(text)]
-    every = trusted + unlabelled
-    sizes = np.array([len(keys) for _, keys, _ in every], dtype=np.int64)
-    index = np.fromiter((k for _, keys, _ in every for k in keys), dtype=np.int64, count=int(sizes.sum()))
-    row = np.repeat(np.arange(len(every)), sizes)
-    belief = np.full(len(every), prior)
-    belief[: len(trusted)] = 1.0
-    total = np.bincount(index, minlength=FEATURES)
-    seen = total > 0
-    odds = np.zeros(FEATURES)
-    for r in range(rounds):
-        if r == 0:  # at first the trusted ones against all others
-            belief[len(trusted) :] = 0.0
-        positive = np.bincount(index, weights=belief[row], minlength=FEATURES)
-        negative = total - positive
-        background = total / max(1, total.sum())
-        in_residue = (positive + SMOOTH_RESIDUE * positive.sum() * background) / ((1 + SMOOTH_RESIDUE) * max(1e-9, positive.sum()))
-        in_clean = (negative + SMOOTH_CLEAN * negative.sum() * background) / ((1 + SMOOTH_CLEAN) * max(1e-9, negative.sum()))
-        odds = np.where(seen & (in_clean > 0), np.log(np.where(seen, in_residue, 1.0)) - np.log(np.where(in_clean > 0, in_clean, 1.0)), 0.0)
-        share = np.clip(belief[len(trusted) :].mean() if len(every) > len(trusted) and r else prior, 0.01, 0.2)
-        margin = np.bincount(row, weights=odds[index], minlength=len(every)) + np.log(share / (1 - share))
-        belief = 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
-        belief[: len(trusted)] = 1.0
-    return np.append(odds, np.log(share / (1 - share)))
-
-
-def is_residue(text: str | None, odds) -> bool:
-    """Whether a text is residue under the log odds of :func:`learn`; null and blank texts are none."""
+
+def is_residue(text: str | None, odds: np.ndarray) -> bool:
+    """Whether a text is residue under the log odds of :func:`fitted`; null and blank texts are none."""
     return residue_score(text, odds) >= SHARE
 
 
-def residue_score(text: str | None, odds) -> float:
-    """1 if a placeholder passage is positive, else the share of words in positive passages."""
-    words = bad = 0
-    base = odds[-1]
-    for placeholder, keys, size in passages(text):
-        z = base
-        for k in keys:
-            z += odds[k]
-        if placeholder:
-            if z > 0:
-                return 1.0
-            continue
-        words += size
-        if z > 0:
-            bad += size
-    return bad / words if words else 0.0
-
-
-def fitted(cards: DataFrame, fields: tuple[str, ...] = FIELDS) -> list[float]:
-    """The model from a bounded sample of the texts of ``fields``, as a plain list."""
-    chosen = hash_sample(cards.select("ingest_idx", *fields), ["ingest_idx"], SAMPLE_TEXTS // len(fields), SEED)
-    rows = chosen.select(*[F.substring(f, 1, SAMPLE_CHARACTERS).alias(f) for f in fields]).collect()
-    model = learn([text for row in rows for text in row if text])
-    _WORDS.clear()
-    return model.tolist()
-
-
-def shared(spark: SparkSession, model: list[float]):
+def _counts(counts: np.ndarray) -> pd.DataFrame:
+    kind, feature = np.nonzero(counts)
+    return pd.DataFrame({"kind": kind, "feature": feature, "n": counts[kind, feature]})
+
+
+def _summed(counts: DataFrame, kinds: int) -> np.ndarray:
+    """The sum of (kind, feature, n) rows as one array; its size is fixed, whatever the data."""
+    out = np.zeros((kinds, FEATURES + MARKS + 2))
+    rows = counts.groupBy("kind", "feature").agg(F.sum("n").alias("n")).toPandas()
+    out[rows["kind"].to_numpy(dtype=np.int64), rows["feature"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=np.float64)
+    return out
+
+
+def _tally(key: np.ndarray, row: np.ndarray, weight: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """Counts per feature, each passage weighing ``weight``, then the weights of passages and of placeholders."""
+    out = np.bincount(key, weights=weight[row], minlength=FEATURES + MARKS + 2)
+    out[-2], out[-1] = weight[~mark].sum(), weight[mark].sum()
+    return out
+
+
+def fitted(cards: DataFrame, fields: tuple[str, ...] = FIELDS, rounds: int = ROUNDS, trusted: dict[str, list[str]] | None = None) -> np.ndarray:
+    """The model, see :func:`_odds`, by expectation-maximization over ``trusted`` records by kind and all texts of ``fields``.
+
+    Two passes over the cards, then ``rounds - 1`` over the passages that the first estimate leaves open.
+    """
+    spark = cards.sparkSession
+    records = trusted_records() if trusted is None else trusted
+    texts = cards.select(*fields)
+    kinds = len(KINDS) + 1
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, words = np.zeros((1, FEATURES + MARKS + 2)), Words()
+        for batch in batches:
+            for f in fields:
+                found = Passages(batch[f].tolist(), words)
+                total[0] += _tally(found.key, found.row, np.ones(len(found)), found.mark)
+        yield _counts(total)
+
+    every = _summed(texts.mapInPandas(count, "kind int, feature int, n double"), 1)[0]
+    sure = np.zeros((kinds, FEATURES + MARKS))
+    for k, kind in enumerate(KINDS):
+        known = Passages(records.get(kind, []))
+        own = np.bincount(known.key, minlength=FEATURES + MARKS).astype(float)
+        sure[-1, FEATURES:] += own[FEATURES:]
+        size = own[:FEATURES].sum()
+        sure[k, :FEATURES] = own[:FEATURES] * max(1.0, TRUSTED_SHARE * every[:FEATURES].sum() / size) if size else 0.0
+    sure[-1] *= max(1.0, 0.1 * every[FEATURES:-2].sum() / max(1.0, sure[-1].sum()))
+    total = every[:-2] + sure.sum(axis=0)
+    odds = _odds(sure, total, np.full(len(KINDS), PRIOR), MARK_PRIOR, first=True)
+    first = spark.sparkContext.broadcast(odds)
+
+    def open_ones(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = Words()
+        for batch in batches:
+            for f in fields:
+                found = Passages(batch[f].tolist(), words)
+                if not len(found):
+                    continue
+                keep = np.nonzero((found.margins(first.value).max(axis=0) > RULED_OUT) & (np.bincount(found.row, minlength=len(found)) > 0))[0]
+                order = np.argsort(found.row, kind="stable")
+                ends = np.searchsorted(found.row[order], np.arange(len(found) + 1))
+                keys = found.key[order].astype(np.int32)
+                yield pd.DataFrame({"keys": pd.Series([np.sort(keys[ends[k] : ends[k + 1]]) for k in keep], dtype=object), "mark": found.mark[keep], "n": np.ones(len(keep))})
+
+    left = cut(texts.mapInPandas(open_ones, "keys array<int>, mark boolean, n double").groupBy("keys", "mark").agg(F.sum("n").alias("n")))
+    for _ in range(rounds - 1):
+        model = spark.sparkContext.broadcast(odds)
+
+        def believe(batches: Iterator[pd.DataFrame], model=model) -> Iterator[pd.DataFrame]:
+            positive = np.zeros((kinds, FEATURES + MARKS + 2))
+            for batch in batches:
+                if len(batch):
+                    key, row = np.concatenate(batch["keys"].to_list()), np.repeat(np.arange(len(batch)), batch["keys"].map(len))
+                    mark = batch["mark"].to_numpy()
+                    belief = _beliefs(_margins(key, row, len(batch), mark, model.value))
+                    belief[:, mark] = belief[:, mark] > 0.5  # of one feature each: parts of it would never settle
+                    belief *= batch["n"].to_numpy()
+                    for k in range(kinds):
+                        positive[k] += _tally(key, row, belief[k], mark)
+            yield _counts(positive)
+
+        found = _summed(left.mapInPandas(believe, "kind int, feature int, n double"), kinds)
+        shares = np.clip(found[:-1, -2] / max(1.0, every[-2]), LEAST, MOST)
+        odds = _odds(sure + found[:, :-2], total, shares, float(np.clip(found[-1, -1] / max(1.0, every[-1]), LEAST, 1 - MOST)))
+    return odds
+
+
+def shared(spark: SparkSession, model: np.ndarray):
     """The model as a broadcast variable; its size is fixed by ``FEATURES``."""
     return spark.sparkContext.broadcast(model)
 
@@ -193,18 +296,17 @@ def residue_values(cards: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFr
 
     Null, empty and blank values are none; repeated rows are judged one by one; other columns are not read.
     """
-    from cardloom.llm.boilerplate import main_text
+    from cardloom.llm.boilerplate import Rules
 
     model = shared(cards.sparkSession, fitted(cards, fields))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        odds = model.value
+        words, rules = Words(), Rules()
         for batch in batches:
-            rows = []
             for field in fields:
-                for i, text, title in zip(batch["ingest_idx"], batch[field], batch["title"], strict=True):
-                    if text and (s := residue_score(main_text(text, title) if "\n" in text else text, odds)) >= SHARE:
-                        rows.append((i, field, s))
-            yield pd.DataFrame(rows, columns=["ingest_idx", "field", "score"])
+                bodies = [rules.main_text(text, title) if text and "\n" in text else text for text, title in zip(batch[field], batch["title"], strict=True)]
+                scores = residue_scores(bodies, model.value, words)
+                hit = scores >= SHARE
+                yield pd.DataFrame({"ingest_idx": batch["ingest_idx"][hit], "field": field, "score": scores[hit]})
 
     return cards.select("ingest_idx", "title", *fields).mapInPandas(score, "ingest_idx bigint, field string, score double")

@@ -1,10 +1,12 @@
 import random
+import re
 from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
 from cardloom.llm import boilerplate, contributor_cap, queries, residue, survivors, truncation
+from cardloom.llm.trusted import trusted_records
 from cardloom.sources.tables import table
 
 RECORDS = "ingest_idx long, id string, pool string, contributor string, score double, extra string"
@@ -77,8 +79,9 @@ SENTENCES = [f"The board of town {i} reported that costs had risen by {i} percen
 
 
 @pytest.fixture(scope="module")
-def odds():
-    return residue.learn(SENTENCES).tolist()
+def odds(spark):
+    rows = [(i, s, f"{s} [3] It grew [sic] in town {i}.") for i, s in enumerate(SENTENCES)] + [(900, None, ""), (901, " ", None)]
+    return residue.fitted(spark.createDataFrame(rows, "ingest_idx long, snippet string, supporting_text string"))
 
 
 @pytest.mark.parametrize(
@@ -93,6 +96,34 @@ def test_no_residue(odds, text):
     assert not residue.is_residue(text, odds)
 
 
+def test_trusted_records_stand_in_no_table(spark, data):
+    """Seeds are written from public grammars: none of five words or more, and no code, occurs in the tables."""
+    plain = lambda text: " " + " ".join(re.findall(r"\w+", text.lower())) + " "
+    records = [r for own in trusted_records().values() for r in own]
+    long = {p for r in records if len((p := plain(r)).split()) >= 5}
+    codes = {c for r in records for c in re.findall(r"\b(?=\w*\d)(?=\w*[a-f])[0-9a-f]{6,}\b", r)}
+    cards = table(spark, data, "evidence_cards", "snippet", "supporting_text", "best_quote").toPandas()
+    for text in set(cards.to_numpy().ravel()):
+        if text:
+            found = plain(text)
+            assert not any(p in found for p in long) and not any(c in found for c in codes), text
+
+
+def test_residue_of_wordings_held_out(spark):
+    """Whole wordings are left out of the trusted records; at least nine of ten are found among clean texts."""
+    records = trusted_records()
+    rng = random.Random(4)
+    held, kept = [], {}
+    for kind, own in records.items():
+        out = set(rng.sample(own, len(own) // 5)) if kind in ("failure", "script") else set()
+        kept[kind] = [r for r in own if r not in out]
+        held += [r for r in out if len(r.split()) >= 4]
+    rows = [(i, s, s) for i, s in enumerate(SENTENCES * 5)] + [(5_000 + i, r, None) for i, r in enumerate(held)]
+    model = residue.fitted(spark.createDataFrame(rows, "ingest_idx long, snippet string, supporting_text string"), trusted=kept)
+    assert (residue.residue_scores(held, model) >= residue.SHARE).mean() >= 0.9
+    assert (residue.residue_scores(SENTENCES, model) < residue.SHARE).all()
+
+
 PAGE = "Home | News | Sign in\nThe title of the piece\nAdvertisement\nMost read\nWhy towns matter now\nNine charts on costs\nThe board of the town said that the costs had risen by a fifth.\nBackground\nIt is not the first time that this was said in the town.\n- 2019: 21.7\nYear | Count | Share\n2019 | 8774 | 1.9\nWe and our 12 partners store cookies to measure visits. Accept all\n© 2020 Board. All rights reserved."
 
 
@@ -106,6 +137,29 @@ def test_furniture():
     assert boilerplate.furniture("word " * 30_000, None) == []
 
 
+def test_lines_learned_from_repetition(spark):
+    """Without any list, lines that a site repeats outside running text are furniture; headings inside it are not."""
+    rng = random.Random(2)
+    body = lambda: f"The board of town {rng.randrange(10**6)} said that the costs had risen by {rng.randrange(90)} percent in the town."
+    rows = []
+    for i in range(120):
+        text = f"Zubble our gazette today\n{body()}\nBackground\n{body()}\nOur gazette counts on you, dear reader.\nQuibble corner"
+        rows.append((i, f"Title {i}", f"https://s{i % 3}.example/{i}", text, None))
+    cards = spark.createDataFrame(rows, "ingest_idx long, title string, url string, supporting_text string, snippet string")
+    got = {(r.field, r.line_no) for r in boilerplate.card_furniture(cards, lists=False).collect()}
+    assert got == {("supporting_text", n) for n in (1, 5, 6)}
+    assert boilerplate.learned_phrases(cards.limit(0), ("supporting_text",)).sum() == 0
+
+
+def test_furniture_without_lists_on_tables(spark):
+    cards = table(spark, "/root/testdata/sf0.01", "evidence_cards")
+    with_lists = boilerplate.card_furniture(cards)
+    found = boilerplate.card_furniture(cards, lists=False)
+    n = with_lists.count()
+    assert with_lists.join(found, ["ingest_idx", "field", "line_no"], "left_semi").count() >= 0.85 * n
+    assert found.join(with_lists, ["ingest_idx", "field", "line_no"], "left_anti").count() <= 0.01 * n
+
+
 BODY = "The board of the town said that the costs had risen by a fifth."
 
 
@@ -140,7 +194,7 @@ def test_endings(text, kind):
 
 
 def test_cut_values(spark):
-    schema = "ingest_idx long, title string, snippet string, best_quote string, claim string, supporting_text string, token string, n long"
+    schema = "ingest_idx long, title string, snippet string, best_quote string, claim string, supporting_text string, provider string, n long"
     rows = [(i, "A title", s, None, None, s, "t", 1) for i, s in enumerate(SENTENCES)]
     rows += [(500, "A title", "Costs rep", None, None, None, None, None), (501, "A title", "A title", "", " ", None, None, None), (502, None, "Please enable JavaScript to view this content", None, None, None, None, None)]
     rows += [(503, "A title", "The board of town 3 reported that costs", None, None, None, None, None)] * 2
@@ -149,6 +203,20 @@ def test_cut_values(spark):
     assert truncation.cut_values(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_evidence_of_cuts(spark):
+    """Trie, length limit and words that go on decide open values; context only what they leave."""
+    schema = "ingest_idx long, title string, snippet string, best_quote string, claim string, supporting_text string, provider string"
+    rng = random.Random(8)
+    names = ["alpha", "beta", "gamma", "delta"]
+    full = [f"In {rng.choice(names)} the reported costs of the town had risen by {k} percent and the council saw no reason." for k in range(300)]
+    rows = [(i, "A title", s, None, None, s, "p") for i, s in enumerate(full)]
+    rows += [(1_000 + i, "A title", s[:60], None, None, None, "q") for i, s in enumerate(full[:40])]
+    rows += [(2_000, "A title", "In alpha the repor", None, None, None, "p"), (2_001, "A title", "In beta the reported costs of the", None, None, None, None), (2_002, "A title", "In beta the reported costs of the town had risen by 7", None, None, None, "p"), (2_003, "A title", "Costs of the town […]", None, None, None, "p"), (2_004, "A title", "Alpha", None, None, None, "p")]
+    got = {r.ingest_idx: r.evidence for r in truncation.judged_values(spark.createDataFrame(rows, schema)).collect()}
+    assert [got[i] for i in (2_000, 2_001, 2_002, 2_003)] == ["trie", "goes_on", "context", "mark"] and got[2_004] is None
+    assert {got[1_000 + i] for i in range(40)} <= {"trie", "length"} and "length" in {got[1_000 + i] for i in range(40)}
+
+
 def test_trie(spark):
     known = spark.createDataFrame([("report", 5), ("reported", 7), ("a", 9)], "word string, n long")
     nodes = {r.prefix: (r.words, r.below) for r in truncation.trie(known).collect()}
