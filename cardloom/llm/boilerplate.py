@@ -93,7 +93,7 @@ _CUES = set(
     "min minute minutes minuten minutos lesezeit temps tiempo gallery bildergalerie updated published posted vote poll copyright rights rechte droits derechos reproduction nachdruck reproducción funded part independent angebot editado édité publié helpline hotline customer "
     "map plan mapa advertise terms imprint mentions aviso impressum corrections publication publicación publikation enjoying support tags tag keywords schlagwörter mots-clés etiquetas manage before".split()
 )
-_TOKEN = re.compile(r"[^\s|·•>/,.:;()!?\"]+")
+_APART = str.maketrans(dict.fromkeys('|·•>/,.:;()!?"', " "))
 _SEPARATORS = re.compile(r"\s+[|·•>»/‹›]\s+|\s{2,}|\t+")
 _ROW = re.compile(r"^[\w\s.,%()+-]*\d[\w\s.,%()+-]*$")
 _FIGURE = re.compile(r"^[^\W\d_][^\d|]*?(?:[:,]\s*|\s+\()\d[\d.,\s]*(?:%|[^\W\d_]+\.?)?\)?$")
@@ -119,7 +119,7 @@ def _link_density(line: str, items: list[str], lists: bool = True) -> float:
 
 
 def _stock(bare: str, low: str) -> bool:
-    return bool((bare[0] in "©®(" or "°" in bare or not _CUES.isdisjoint(_TOKEN.findall(low))) and _STOCK.match(bare))
+    return bool((bare[0] in "©®(" or "°" in bare or not _CUES.isdisjoint(low.translate(_APART).split())) and _STOCK.match(bare))
 
 
 def _running(line: str) -> bool:
@@ -157,11 +157,19 @@ def _masked(line: str) -> str:
     return _NUMBER.sub("0", line.strip().lower())
 
 
-def _phrase_keys(masked: str) -> list[int]:
-    """Features of a line: its words and signs, and neighbouring pairs of them, its ends included."""
-    parts = _PARTS.findall(masked)
-    ends = ["^", *parts, "$"]
-    return [zlib.crc32(x.encode()) & (PHRASES - 1) for x in (*parts, *(a + " " + b for a, b in zip(ends, ends[1:])))]
+class Phrases(dict):
+    """Code of each word or sign of a line, kept as long as there are not too many."""
+
+    def __missing__(self, part: str) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        code = self[part] = zlib.crc32(part.encode())
+        return code
+
+    def keys_of(self, masked: str) -> list[int]:
+        """Features of a line: its words and signs, and neighbouring pairs of them, its ends included."""
+        own = [self[part] for part in _PARTS.findall(masked)]
+        return [c & (PHRASES - 1) for c in own] + [(a * 31 + b * 17 + 7 >> 3) & (PHRASES - 1) for a, b in zip([1, *own], [*own, 2])]
 
 
 def _without(text: str, numbers: list[int]) -> str:
@@ -177,12 +185,13 @@ class Rules:
     def __init__(self, phrases: np.ndarray | None = None, lists: bool = True):
         self.phrases, self.lists = phrases, lists
         self.seen: dict[str, str] = {}
+        self.codes = Phrases()
 
     def likeness(self, line: str) -> float:
         """Mean log odds of a line's phrases, scaled by the root of their number; 0 without learned phrases."""
         if self.phrases is None or len(line) > COUNTED:
             return 0.0
-        keys = _phrase_keys(_masked(line))
+        keys = self.codes.keys_of(_masked(line))
         return float(self.phrases[keys].sum() / len(keys) ** 0.5) if keys else 0.0
 
     def first_pass(self, line: str, following: str) -> str:
@@ -219,13 +228,15 @@ class Rules:
         if _BULLET.match(bare):
             return "good"
         ended = bool(_END.search(bare))
-        words = _WORDS.findall(low)
-        density = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
-        good = ended and (len(bare) >= LONG or density >= DENSE or len(words) >= 4) or density >= DENSE and len(bare) >= 100
-        if _FIGURE.match(bare):
+        good = ended and len(bare) >= LONG
+        if not good:
+            words = _WORDS.findall(low)
+            density = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+            good = ended and (density >= DENSE or len(words) >= 4) or density >= DENSE and len(bare) >= 100
+        if len(bare) < LONG and _FIGURE.match(bare):
             return "short"
         if self.phrases is not None and self.likeness(bare) > (FIRM if good else LINKED):
-            return "side" if not ended and len(words) <= 4 and not any(c.isdigit() for c in bare) else "like"
+            return "side" if not ended and low.count(" ") < 4 and not any(c.isdigit() for c in bare) else "like"
         return "good" if good else "short"
 
     def alone(self, text: str) -> bool:
@@ -347,15 +358,16 @@ def learned_phrases(cards: DataFrame, fields: tuple[str, ...]) -> np.ndarray:
     )
 
     def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = np.zeros((2, PHRASES))
+        sums, codes = np.zeros((2, PHRASES)), Phrases()
         for batch in batches:
-            for line, repeated in zip(batch["line"], batch["repeated"], strict=True):
-                np.add.at(sums[int(repeated)], _phrase_keys(_masked(line)), 1.0)
+            for kind in (0, 1):
+                found = [key for line in batch["line"][batch["repeated"] == bool(kind)] for key in codes.keys_of(_masked(line))]
+                sums[kind] += np.bincount(np.array(found, dtype=np.int64), minlength=PHRASES)
         at = np.nonzero(sums.sum(axis=0))[0]
         yield pd.DataFrame({"phrase": at, "once": sums[0, at], "repeated": sums[1, at]})
 
     rows = judged.where(F.col("repeated") | F.col("once")).select("line", "repeated").mapInPandas(tally, "phrase int, once double, repeated double")
-    rows = rows.groupBy("phrase").agg(F.sum("once").alias("once"), F.sum("repeated").alias("repeated")).toPandas()
+    rows = rows.groupBy("phrase").agg(F.sum("once").alias("once"), F.sum("repeated").alias("repeated")).toArrow().to_pandas()
     out = np.zeros(PHRASES)
     if rows["repeated"].sum() and rows["once"].sum():
         smooth = 0.1
@@ -381,7 +393,9 @@ def card_furniture(cards: DataFrame, fields: tuple[str, ...] = ("supporting_text
                 texts, titles = batch[field].tolist(), batch["title"].tolist()
                 found = [rules.furniture(text, title) for text, title in zip(texts, titles, strict=True)]
                 some = [k for k, lines in enumerate(found) if lines]
-                bodies = [plain.main_text(texts[k], titles[k]) for k in some]  # what problem 4 judges
+                bodies = [_without(texts[k], found[k]) for k in some]
+                # problem 4 judges the text without the lines that fixed rules find; where little else is left, so does this
+                bodies = [body if 2 * len(body) > len(texts[k]) else plain.main_text(texts[k], titles[k]) for k, body in zip(some, bodies, strict=True)]
                 clean = residue.residue_scores(bodies, model.value, words) < residue.SHARE
                 ids = batch["ingest_idx"].tolist()
                 rows = [(ids[k], field, n) for k, ok in zip(some, clean, strict=True) if ok for n in found[k]]

@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -51,6 +52,7 @@ _PLACEHOLDER = re.compile(
 _MARKS = re.compile(r"[{\[<@%_$#]")
 _SPLIT = re.compile(r"(?<=[.!?…])[\"”»)]*\s+|\n+")
 _WORD = re.compile(r"[^\W_]+")
+_END = re.compile(r"[.!?…][\"”»)]*$")
 _FIGURE = re.compile(r"^[^\d.!?]{2,60}?(?:\s?:\s|,\s|\s\()\s?[-+]?\d[\d.,\s ]*(?:%|percent|million|billion)?\)?$")
 _CODE = re.compile(r"(?=[a-f0-9]*[0-9])[a-f0-9]{6,}")
 _INSIDE = re.compile(r"^[{\[<%$#@_=(\s]+|[}\]>%@_)\s]+[sd]?$")
@@ -60,15 +62,21 @@ def _key(text: str) -> int:
     return zlib.crc32(text.encode()) & (FEATURES - 1)
 
 
+_NUMBER = _key("w 0")
+BREAK = -1
+
+
 class Words(dict):
-    """Feature of each word, kept as long as there are not too many; all numbers are one word, and all codes."""
+    """Features of each piece of text between blanks, kept as long as there are not too many: those of its words, and
+    ``BREAK`` where it ends a sentence. All numbers are one word, and all codes."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, piece: str) -> tuple[int, ...]:
         if len(self) > 300_000:
             self.clear()
-        kind = "0" if word.isdigit() else "hex" if _CODE.fullmatch(word) else word
-        key = self[word] = _key("w " + kind)
-        return key
+        words = _WORD.findall(piece)
+        keys = tuple(_key("w " + ("0" if w.isdigit() else "hex" if _CODE.fullmatch(w) else w)) for w in words)
+        self[piece] = keys = (*keys, BREAK) if _END.search(piece) else keys
+        return keys
 
 
 def _mark_key(text: str) -> int:
@@ -95,40 +103,57 @@ class Passages:
 
     def __init__(self, texts: list[str | None], words: Words | None = None):
         known = Words() if words is None else words
-        owner: list[int] = []
-        marks: list[bool] = []
-        counts: list[int] = []
-        sizes: list[int] = []
+        marks: list[tuple[int, int]] = []
         keys: list[int] = []
+        ends: list[int] = []
+        plain: list[str] = []
         for k, text in enumerate(texts):
-            if not text:
-                continue
+            text = (text or "").lower()
             if _MARKS.search(text):
-                for piece in _PLACEHOLDER.findall(text):
-                    for key in _placeholder_keys(piece):
-                        owner.append(k), marks.append(True), counts.append(1), sizes.append(1)
-                        keys.append(key)
+                marks += [(k, key) for piece in _PLACEHOLDER.findall(text) for key in _placeholder_keys(piece)]
                 text = _PLACEHOLDER.sub(lambda m: m.group() if m.group()[0] in "[<" else " ", text)
-            for piece in _SPLIT.split(text):
-                found = _WORD.findall(piece.lower())
-                if not found:
-                    continue
-                owner.append(k), marks.append(False), counts.append(len(found))
-                if len(found) <= 8 and _FIGURE.match(piece.strip()):
-                    sizes.append(0)  # a complete label with its figure says nothing about residue
-                else:
-                    sizes.append(len(found))
-                    keys += [known[w] for w in found]
-        self.owner, self.mark, self.words = np.array(owner, dtype=np.int64), np.array(marks, dtype=bool), np.array(counts, dtype=np.int64)
-        size = np.array(sizes, dtype=np.int64)
-        key = np.array(keys, dtype=np.int64)
-        row = np.repeat(np.arange(len(size)), size)
+            plain.append(text)
+            for line in text.split("\n"):
+                keys.extend(chain.from_iterable(map(known.__getitem__, line.split())))
+                keys.append(BREAK)
+            ends.append(len(keys))
+        every = np.array(keys, dtype=np.int64)
+        broken = every == BREAK
+        piece = np.cumsum(broken) - broken  # number of the piece that each token stands in, of all pieces, empty ones too
+        word = ~broken
+        filled, size = np.unique(piece[word], return_counts=True)
+        text_of = np.repeat(np.arange(len(texts)), np.diff([0, *ends]))
+        owner = np.zeros(int(broken.sum()), dtype=np.int64)
+        owner[piece[broken]] = text_of[broken]
+        key, row = every[word], np.repeat(np.arange(len(filled)), size)
+        owner = owner[filled]
+        drop = self._figures(plain, owner, size, np.bincount(row[key == _NUMBER], minlength=len(filled)) > 0)
+        keep = ~drop[row]  # a complete label with its figure says nothing about residue
+        key, row, some = key[keep], row[keep], np.where(drop, 0, size)
+        more = np.array(marks, dtype=np.int64).reshape(-1, 2)
+        self.owner = np.concatenate([owner, more[:, 0]])
+        self.mark = np.concatenate([np.zeros(len(filled), dtype=bool), np.ones(len(more), dtype=bool)])
+        self.words = np.concatenate([size, np.ones(len(more), dtype=np.int64)])
+        size = np.concatenate([some, np.ones(len(more), dtype=np.int64)])
+        key = np.concatenate([key, more[:, 1]])
+        row = np.concatenate([row, len(filled) + np.arange(len(more))])
         # neighbouring pairs tell short messages from short sentences
         paired = (row[1:] == row[:-1]) & ~self.mark[row[1:]] & (size[row[1:]] <= PAIRED) if len(key) > 1 else np.zeros(0, dtype=bool)
         pairs = (key[:-1][paired] * 31 + key[1:][paired] * 17 + 7) & (FEATURES - 1) if len(key) > 1 else key[:0]
         self.key = np.concatenate([key, pairs])
         self.row = np.concatenate([row, row[1:][paired] if len(key) > 1 else row[:0]])
 
+    @staticmethod
+    def _figures(texts: list[str], owner: np.ndarray, size: np.ndarray, numbered: np.ndarray) -> np.ndarray:
+        """Which passages are a label with its figure; only texts with a short one that has a number are looked at again."""
+        out = np.zeros(len(owner), dtype=bool)
+        first = np.searchsorted(owner, np.arange(len(texts) + 1))
+        for k in np.unique(owner[numbered & (size <= 8)]):
+            pieces = [p for p in _SPLIT.split(texts[k]) if _WORD.search(p)]
+            for at, piece in enumerate(pieces[: first[k + 1] - first[k]], first[k]):
+                out[at] = size[at] <= 8 and bool(_FIGURE.match(piece.strip()))
+        return out
+
     def __len__(self) -> int:
         return len(self.owner)
 
@@ -207,8 +232,8 @@ def _counts(counts: np.ndarray) -> pd.DataFrame:
 def _summed(counts: DataFrame, kinds: int) -> np.ndarray:
     """The sum of (kind, feature, n) rows as one array; its size is fixed, whatever the data."""
     out = np.zeros((kinds, FEATURES + MARKS + 2))
-    rows = counts.groupBy("kind", "feature").agg(F.sum("n").alias("n")).toPandas()
-    out[rows["kind"].to_numpy(dtype=np.int64), rows["feature"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=np.float64)
+    rows = counts.groupBy("kind", "feature").agg(F.sum("n").alias("n")).toArrow()
+    out[rows["kind"].to_numpy(), rows["feature"].to_numpy()] = rows["n"].to_numpy()
     return out
 
 
