@@ -30,6 +30,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def bounded(df: DataFrame, max_rows: int = 50_000) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``max_rows`` rows, unchanged (a shuffled join) beyond that."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def fits(df: DataFrame, max_rows: int, max_bytes: int = 64 << 20) -> bool:
+    """Whether ``df`` has at most so many rows and bytes (texts and nested values by their length, others 8 bytes each)."""
+    sizes = [F.coalesce(F.octet_length(c if kind == "string" else F.to_json(F.struct(c))), F.lit(0)) if kind == "string" or "<" in kind else F.lit(8) for c, kind in df.dtypes]
+    total = sizes[0].cast("long")
+    for size in sizes[1:]:
+        total = total + size
+    rows, size = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(total), F.lit(0))).first()
+    return rows <= max_rows and size <= max_bytes
+
+
+def bounded(df: DataFrame, max_rows: int = 50_000, max_bytes: int = 64 << 20) -> DataFrame:
+    """``df`` with a broadcast hint if it is that small (see :func:`fits`), unchanged (a shuffled join) beyond that."""
+    return F.broadcast(df) if fits(df, max_rows, max_bytes) else df
