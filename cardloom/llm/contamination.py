@@ -1,43 +1,42 @@
 """Evaluation passages in a training corpus, by a prefix-filtered set join on word shingles (problem 7).
 
-1. Shingles of five words are taken from every item and every document; document shingles meet the item shingles in a
-   map-side join, so that only documents sharing a shingle go on.
-2. An item's shingles are ordered by rarity (number of corpus documents). A document with at least ``required`` of an item's
-   ``|S|`` shingles must have ``l`` among the ``|S| - required + l`` rarest; only these prefix shingles are joined, and pairs
-   with fewer than ``l`` (half of required) of them are dropped, which ends most pairs that share nothing but wording
-   common to many items. Documents too short to hold the share of an item's words are dropped as well.
-3. Each candidate is verified on whole texts: in windows of the item's size, item words covered by common runs of three
-   words are marked; windows with at least five covered words count, and the union over all windows is the containment.
+What counts is the share of an item's words that lie in runs of three words common with a document. The filter is derived
+from that measure, so it loses nothing: a common run covers at most three words, so a share of the ``n`` words takes common
+runs at ``required = ceil(ceil(share * n) / 3)`` places of the item.
+
+1. Shingles of three words are taken from every item and every document; document shingles meet the item shingles in a
+   map-side join, so that only shared ones go on.
+2. An item's shingles are ordered by rarity (number of corpus documents), each weighing the places that it has in the item.
+   A document with ``required`` places must have ``l`` of them among the rarest ones that hold ``all - required + l``; only
+   these prefix shingles are joined, and pairs with fewer than ``l`` (half of required) are dropped, which ends most pairs
+   that share nothing but wording common to many items. So are documents too short to have that many shingles.
+3. Each candidate is verified on whole texts: in windows of the item's size, item words covered by common runs are marked;
+   windows with at least five covered words count, and the union over all windows is the containment. Only texts of
+   candidates move: documents are first filtered where they are read, by a bitmap of candidate ids.
 """
 
 from __future__ import annotations
 
-import re
-import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cardloom.functions.words import with_shingles
-from cardloom.session import bounded, cut
+from cardloom.functions.membership import possibly_in
+from cardloom.functions.words import with_shingles, words
+from cardloom.session import bounded, cut, fits
 
-SHINGLE = 5
-#: Share of an item's shingles that a document must hold to be verified. Stricter than the verification where changes are
-#: dense: evenly changed copies are missed from every fifth word in a whole copy, every sixth in a copy of half of the words.
-REQUIRED = 0.12
+#: Words of a run, and of the shingles that find candidates.
 RUN = 3
+#: Least words of an item, and of the covered words of a window: fewer are a name or a short phrase.
+LEAST = 5
 CONTAINMENT = 0.5
+#: Distinct item shingles up to which they are broadcast; beyond, a bitmap of fixed size is, and what passes it is shuffled.
+KEYS = 500_000
 
 
-def tokens_of(text: str | None) -> list[str]:
-    """Words of a text, in lower case, without accents and punctuation."""
-    plain = unicodedata.normalize("NFKD", (text or "").lower())
-    return re.findall(r"[^\W_]+", "".join(c for c in plain if not unicodedata.combining(c)))
-
-
-def containment(doc: list[str], item: list[str], run: int = RUN, least: int = SHINGLE) -> float:
+def containment(doc: list[str], item: list[str], run: int = RUN, least: int = LEAST) -> float:
     """Share of the item's words that lie in runs of ``run`` words common with the document, over item-sized windows."""
     n = len(item)
     if n < run or len(doc) < run:
@@ -61,10 +60,31 @@ def containment(doc: list[str], item: list[str], run: int = RUN, least: int = SH
 
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        shares = [containment(tokens_of(d), tokens_of(i)) for d, i in zip(batch["_doc"], batch["_item"], strict=True)]
+        shares = [containment(list(d), list(i)) for d, i in zip(batch["_doc"], batch["_item"], strict=True)]
         yield batch[["item_id", "doc_id"]].assign(containment=shares)
 
 
+def candidates(items: DataFrame, documents: DataFrame, share: float = CONTAINMENT) -> DataFrame:
+    """(item_id, _copy, doc_id): pairs that may reach ``share``; none that does is missing. ``items`` has (item_id, _copy, _item)."""
+    placed = with_shingles(items, ["item_id", "_copy"], "_item", RUN).where(F.col("_words") >= LEAST)
+    required = F.ceil(F.ceil(F.col("_words") * share) / RUN).cast("int")
+    weighed = placed.select("item_id", "_copy", F.size("_shingles").alias("_all"), required.alias("_required"), F.explode("_shingles").alias("_h"))
+    weighed = cut(weighed.groupBy("item_id", "_copy", "_h").agg(F.count(F.lit(1)).cast("int").alias("_places"), F.first("_all").alias("_all"), F.first("_required").alias("_required")))
+    keys = weighed.select("_h").distinct()
+    small = fits(keys, KEYS)
+    held = with_shingles(documents.select("doc_id", "text"), ["doc_id"], "text", RUN).select("doc_id", F.col("_words").alias("_length"), F.explode(F.array_distinct("_shingles")).alias("_h"))
+    shared = cut(held.join(F.broadcast(keys), "_h", "left_semi") if small else possibly_in(held, "_h", keys).join(keys, "_h", "left_semi"))
+    rarity = shared.groupBy("_h").agg(F.count(F.lit(1)).alias("_df"))
+    by = Window.partitionBy("item_id", "_copy").orderBy(F.coalesce(F.col("_df"), F.lit(0)), "_h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    least = F.ceil(F.col("_required") / 2).cast("int")
+    most = F.max("_places").over(Window.partitionBy("item_id", "_copy"))
+    ordered = weighed.join(F.broadcast(rarity) if small else rarity, "_h", "left").withColumns({"_upto": F.sum("_places").over(by), "_shortest": F.ceil(F.col("_required") / most) + RUN - 1})
+    index = ordered.where(F.col("_upto") - F.col("_places") < F.col("_all") - F.col("_required") + least)
+    index = index.select("_h", "item_id", "_copy", "_places", least.alias("_least"), "_shortest")
+    found = shared.join(bounded(index, KEYS), "_h").where(F.col("_length") >= F.col("_shortest")).groupBy("doc_id", "item_id", "_copy").agg(F.sum("_places").alias("_found"), F.first("_least").alias("_least"))
+    return found.where(F.col("_found") >= F.col("_least")).select("item_id", "_copy", "doc_id")
+
+
 def leaked_items(items: DataFrame, documents: DataFrame, share: float = CONTAINMENT) -> DataFrame:
     """(item_id, doc_id, containment): documents that hold at least ``share`` of an item's words in copied passages.
 
@@ -72,29 +92,10 @@ def leaked_items(items: DataFrame, documents: DataFrame, share: float = CONTAINM
     five words, are in no pair. Copies of a document are rows of their own. Items whose ids repeat count once per distinct
     text; the pair then carries the largest containment.
     """
-    item_shingles = with_shingles(items.select("item_id", F.col("text").alias("_item")), ["item_id", "_item"], "_item", SHINGLE).select(
-        "item_id", "_item", "_words", F.array_distinct("_shingles").alias("_s")
-    )
-    wanted = item_shingles.withColumn("_total", F.size("_s")).withColumn("_required", F.greatest(F.lit(1), F.ceil(F.col("_total") * REQUIRED)).cast("int"))
-    exploded = wanted.select("item_id", F.xxhash64("_item").alias("_copy"), "_words", "_total", "_required", F.explode("_s").alias("_h"))
-    doc_shingles = with_shingles(documents.select("doc_id", "text"), ["doc_id"], "text", SHINGLE).select(
-        "doc_id", F.col("_words").alias("_length"), F.explode("_shingles").alias("_h")
-    )
-    keys = bounded(exploded.select("_h").distinct(), 500_000)
-    shared = cut(doc_shingles.join(keys, "_h", "left_semi").distinct())
-    rarity = shared.groupBy("_h").agg(F.count(F.lit(1)).alias("_df"))
-    ordered = exploded.join(bounded(rarity, 500_000), "_h", "left").withColumn(
-        "_rank", F.row_number().over(Window.partitionBy("item_id", "_copy").orderBy(F.coalesce(F.col("_df"), F.lit(0)), "_h"))
-    )
-    index = ordered.withColumn("_prefix", F.col("_rank") <= F.col("_total") - F.col("_required") + F.ceil(F.col("_required") / 2))
-    index = bounded(index.where("_prefix").select("_h", "item_id", "_copy", "_words", "_total", "_required"), 500_000)
-    pairs = (
-        shared.join(index, "_h").where(F.col("_length") >= F.floor(F.col("_words") * share))
-        .groupBy("doc_id", "item_id", "_copy").agg(F.count(F.lit(1)).alias("_in_prefix"), F.first("_required").alias("_required"))
-        .where(F.col("_in_prefix") >= F.ceil(F.col("_required") / 2))
-    )
-    texts = bounded(wanted.select("item_id", F.xxhash64("_item").alias("_copy"), "_item").dropDuplicates(["item_id", "_copy"]), 10_000)
-    candidates = pairs.select("doc_id", "item_id", "_copy").join(texts, ["item_id", "_copy"]).join(documents.select("doc_id", F.col("text").alias("_doc")), "doc_id")
-    schema = "item_id bigint, doc_id bigint, containment double"
-    checked = candidates.select("item_id", "doc_id", "_doc", "_item").mapInPandas(_verify, schema)
+    texts = items.select("item_id", F.xxhash64("text").alias("_copy"), F.col("text").alias("_item")).dropDuplicates(["item_id", "_copy"])
+    pairs = cut(candidates(texts, documents, share))
+    item_words = texts.select("item_id", "_copy", words(F.col("_item")).alias("_item"))
+    near = possibly_in(documents.select("doc_id", "text"), "doc_id", pairs.select("doc_id"))
+    both = near.join(pairs, "doc_id").select("item_id", "_copy", "doc_id", words(F.col("text")).alias("_doc")).join(bounded(item_words, 10_000), ["item_id", "_copy"])
+    checked = both.select("item_id", "doc_id", "_doc", "_item").mapInPandas(_verify, "item_id bigint, doc_id bigint, containment double")
     return checked.where(F.col("containment") >= share).groupBy("item_id", "doc_id").agg(F.max("containment").alias("containment"))
