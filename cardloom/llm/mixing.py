@@ -3,12 +3,14 @@
 1. Texts are counted in tokens of a public tokenizer, in one pass.
 2. The size of the mix is that of all texts of sources with a target, or the one asked for. Large sources are cut down to
    their share, small ones repeated up to their allowed copies; a source that cannot reach its share gives all copies it
-   may, the others keep their sizes, and the report says so.
-3. Each source's documents (with their copies) are cut into blocks by a hash of their ids. A tree over the output shards
-   draws, node by node, how many blocks of each source go left and right: a multivariate hypergeometric draw, so that
-   every shard is a random sample without replacement and the quotas are met exactly. The tree works on one number per
-   source and shard, whatever the number of documents.
-4. Blocks in a hashed order fill the shards' quotas; within a shard a hash orders the documents.
+   may, the others keep their sizes, and the report has both the target and the share that could be attained.
+3. A tree over the output shards divides the sources' token quotas: node by node a multivariate hypergeometric draw says how
+   many tokens of each source go left and right, so that all shards are equally large, every shard is a random sample
+   without replacement and the quotas are met. The tree works on one number per source and shard.
+4. Each source's documents are cut into blocks by a hash of their ids. The blocks in a drawn order, once per copy, form a
+   line that the shards' quotas cut: every copy of a block has a shard of its own. As the order is the same in every round,
+   copies of a document are a whole round apart, and so in different shards where there are enough. In the block in which a
+   quota ends, documents are taken by smaller blocks, and one by one only in the last of these. A hash orders each shard.
 """
 
 from __future__ import annotations
@@ -51,7 +53,8 @@ def with_tokens(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
 
 
 def plan(available: dict[str, int], targets: dict[str, tuple[float, int]], total: int | None = None) -> dict[str, dict]:
-    """Wanted tokens per source, ``share * total``, of which ``drawn`` are at most ``available * repeats``.
+    """Wanted tokens per source, ``share * total``, of which ``drawn`` are at most ``available * repeats``; ``attainable`` is
+    the share of these in the mix.
 
     Without ``total``, the mix is as large as all texts that the targets' sources have.
     """
@@ -60,83 +63,111 @@ def plan(available: dict[str, int], targets: dict[str, tuple[float, int]], total
     out = {}
     for source, (share, repeats) in targets.items():
         most = available.get(source, 0) * max(1, repeats or 1)
-        wanted = (share or 0.0) * total
-        out[source] = {"share": share or 0.0, "wanted": int(round(wanted)), "drawn": int(min(round(wanted), most)), "most": most, "have": available.get(source, 0)}
+        wanted = int(round((share or 0.0) * total))
+        out[source] = {"share": share or 0.0, "wanted": wanted, "drawn": min(wanted, most)}
+    size = sum(x["drawn"] for x in out.values())
+    for x in out.values():
+        x["attainable"] = x["drawn"] / size if size else 0.0
     return out
 
 
-def split_tree(blocks: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarray:
-    """(shards, sources) numbers of blocks: ``blocks`` per source divided at random, level by level, into equal shards."""
+def split_tree(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarray:
+    """(shards, sources): ``quotas`` per source divided at random, level by level, into shards of equal size."""
     if shards == 1:
-        return blocks[None, :]
+        return quotas[None, :]
     left = shards // 2
-    take = int(blocks.sum()) * left // shards
-    drawn = rng.multivariate_hypergeometric(blocks, take, method="marginals") if blocks.sum() else np.zeros_like(blocks)
-    return np.vstack([split_tree(drawn, left, rng), split_tree(blocks - drawn, shards - left, rng)])
+    take = int(quotas.sum()) * left // shards
+    drawn = rng.multivariate_hypergeometric(quotas, take, method="marginals") if quotas.sum() else np.zeros_like(quotas)
+    return np.vstack([split_tree(drawn, left, rng), split_tree(quotas - drawn, shards - left, rng)])
+
+
+def lines(blocks: dict[str, list[tuple[int, int]]], quotas: dict[str, int], shards: int, rng: np.random.Generator) -> list[tuple[str, int, int, int, int | None]]:
+    """(source, block, copy, shard, part) of all blocks (number, tokens) that the quotas take; part is null for whole blocks
+    and the tokens to take in the one in which a quota ends."""
+    names = sorted(s for s in blocks if quotas.get(s, 0) > 0)
+    quota = np.array([quotas[s] for s in names], dtype=np.int64)
+    unit = max(1, -(-int(quota.sum()) // 500_000_000))  # what the generator can divide
+    cuts = np.cumsum(split_tree(-(-quota // unit), shards, rng), axis=0) * unit
+    out = []
+    for k, source in enumerate(names):
+        order = [blocks[source][i] for i in rng.permutation(len(blocks[source]))]
+        size = np.array([tokens for _, tokens in order], dtype=np.int64)
+        left, done, copy = int(quota[k]), 0, 1
+        while left > 0:
+            ends = np.cumsum(size)
+            whole = int(np.searchsorted(ends, left, side="right"))
+            middle = done + ends - size / 2
+            shard = np.minimum(np.searchsorted(cuts[:, k], middle, side="right"), shards - 1)
+            out += [(source, order[i][0], copy, int(shard[i]), None) for i in range(whole)]
+            if whole < len(order):
+                rest = left - int(ends[whole - 1] if whole else 0)
+                if rest:
+                    at = int(min(np.searchsorted(cuts[:, k], done + left - rest / 2, side="right"), shards - 1))
+                    out.append((source, order[whole][0], copy, at, rest))
+                break
+            left, done, copy = left - int(ends[-1]), done + int(ends[-1]), copy + 1
+    return out
+
+
+def _ended(rows: DataFrame, sources: int) -> DataFrame:
+    """The documents of cut blocks that their ``_part`` takes, in hashed order, the last one if half of it fits.
+
+    Blocks are cut again, so that a window only sees documents of one small block per source.
+    """
+    spark = rows.sparkSession
+    sums = rows.groupBy("source", "_part", "_small").agg(F.sum("tokens").alias("tokens")).collect()  # at most BLOCKS per source
+    taken, left = [], {}
+    for r in sorted(sums, key=lambda r: (r.source, r._small)):
+        rest = left.setdefault(r.source, r._part)
+        if rest > 0:
+            taken.append((r.source, r._small, min(rest, r.tokens), rest < r.tokens))
+            left[r.source] = rest - r.tokens
+    plan_rows = spark.createDataFrame(taken or [("", 0, 0, False)], "source string, _small int, _rest long, _cut boolean")
+    near = rows.join(bounded(plan_rows, sources * BLOCKS), ["source", "_small"])
+    upto = F.sum("tokens").over(Window.partitionBy("source").orderBy("_order", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    last = near.where("_cut").withColumn("_upto", upto).where(F.col("_upto") - F.col("tokens") / 2 <= F.col("_rest")).drop("_upto")
+    return near.where("not _cut").unionByName(last).drop("_rest", "_cut")
 
 
 def mixed(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, total: int | None = None, shards: int = SHARDS, blocks: int = BLOCKS, max_targets: int = 1_000) -> tuple[DataFrame, DataFrame]:
     """(copies, report) of the mix.
 
-    copies: (doc_id, source, copies, tokens, shard, position) with copies of at least 1; report: (source, target_share,
-    max_repeats, available_tokens, drawn_tokens, actual_share, reached). Of a source's documents, all get the same whole
-    number of copies and some, in a hashed order, one more, up to the wanted tokens; the last document may overshoot by less
-    than its size only if that comes closer. Sources without a target are left out of both; targets without documents are
-    reported with 0. Repeated target rows of one source count once (the largest share). ``targets`` must have at most
-    ``max_targets`` rows, which is checked, as the plan is made on the driver.
+    copies: one row (doc_id, source, copy, tokens, shard, position) per copy of a document, copies numbered from 1; shards are
+    read in the order of position. report: (source, target_share, max_repeats, available_tokens, drawn_tokens,
+    attainable_share, actual_share, reached), where a target is reached if its tokens are drawn up to one document. Of a
+    source's documents, all get the same number of copies and some, in a hashed order, one more. Sources without a target are
+    left out of both; targets without documents are reported with 0. Null and empty texts have no tokens and are left out.
+    Repeated target rows of one source count once (the largest share). ``targets`` must have at most ``max_targets`` rows,
+    which is checked, as the plan is made on the driver.
     """
     spark = documents.sparkSession
     rows = targets.where(F.col("source").isNotNull()).groupBy("source").agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("repeats")).limit(max_targets + 1).collect()
     if len(rows) > max_targets:
         raise ValueError(f"more than {max_targets} targets")
     wanted = {r.source: (float(r.share or 0.0), int(r.repeats or 1)) for r in rows}
-    sized = with_tokens(documents, tokenizer).where(F.col("tokens") > 0)
     order = F.xxhash64(F.lit(SEED), "source", "doc_id")
     names = bounded(spark.createDataFrame([(s,) for s in wanted] or [("",)], "source string"), max_targets)
-    sized = sized.join(names, "source").withColumns({"_order": order, "_block": F.pmod(order, F.lit(blocks)).cast("int")})
-    sized = cut(sized)
-    per_block = sized.groupBy("source", "_block").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n")).collect()
+    sized = with_tokens(documents.join(names, "source", "left_semi"), tokenizer).where(F.col("tokens") > 0)
+    sized = cut(sized.withColumns({"_order": order, "_block": F.pmod(order, F.lit(blocks)).cast("int"), "_small": F.pmod(F.shiftrightunsigned(order, 20), F.lit(BLOCKS)).cast("int")}))
+    per_block = sized.groupBy("source", "_block").agg(F.sum("tokens").alias("tokens"), F.max("tokens").alias("largest")).collect()  # sources x blocks rows
     available: dict[str, int] = {}
-    for r in per_block:
+    largest: dict[str, int] = {}
+    of_source: dict[str, list[tuple[int, int]]] = {}
+    for r in sorted(per_block, key=lambda r: (r.source, r._block)):
         available[r.source] = available.get(r.source, 0) + r.tokens
+        largest[r.source] = max(largest.get(r.source, 0), r.largest)
+        of_source.setdefault(r.source, []).append((r._block, r.tokens))
     quota = plan(available, wanted, total)
-    rng = np.random.default_rng(SEED)
-
-    # blocks of each source in a drawn order; full copies first, then the blocks that get one more
-    of_source: dict[str, list] = {}
-    for r in sorted(per_block, key=lambda r: (r.source, r._block)):
-        of_source.setdefault(r.source, []).append(r)
-    chosen: dict[str, list[tuple[int, int, int]]] = {}  # (block, copies of all its documents, tokens that get one more)
-    for source, own in sorted(of_source.items()):
-        base, rest = divmod(quota[source]["drawn"], available[source])
-        for k in rng.permutation(len(own)):
-            extra = max(0, min(rest, own[k].tokens))
-            rest -= extra
-            if base or extra:
-                chosen.setdefault(source, []).append((int(own[k]._block), int(base), int(extra)))
-    names_of = sorted(chosen)
-    tree = split_tree(np.array([len(chosen[s]) for s in names_of], dtype=np.int64), shards, rng)
-    layout = []
-    for k, source in enumerate(names_of):
-        shard_of = rng.permutation(np.repeat(np.arange(shards), tree[:, k]))
-        layout += [(source, block, base, extra, int(shard)) for (block, base, extra), shard in zip(chosen[source], shard_of, strict=True)]
-    plan_rows = spark.createDataFrame(layout or [("", 0, 0, 0, 0)], "source string, _block int, _base int, _extra long, shard int")
+    layout = lines(of_source, {s: x["drawn"] for s, x in quota.items()}, shards, np.random.default_rng(SEED))
+    plan_rows = spark.createDataFrame(layout or [("", 0, 0, 0, None)], "source string, _block int, copy int, shard int, _part long")
     placed = sized.join(bounded(plan_rows, 1_000_000), ["source", "_block"])
-    # only the one block per source in which the quota ends is ordered document by document; its size is 1 / blocks of the source
-    whole = placed.join(bounded(spark.createDataFrame([(r.source, int(r._block), int(r.tokens)) for r in per_block] or [("", 0, 0)], "source string, _block int, _block_tokens long"), 1_000_000), ["source", "_block"])
-    upto = F.sum("tokens").over(Window.partitionBy("source", "_block").orderBy("_order", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    edge = whole.where((F.col("_extra") > 0) & (F.col("_extra") < F.col("_block_tokens"))).withColumn("_more", (upto - F.col("tokens") / 2 <= F.col("_extra")).cast("int"))
-    rest = whole.where((F.col("_extra") <= 0) | (F.col("_extra") >= F.col("_block_tokens"))).withColumn("_more", (F.col("_extra") > 0).cast("int"))
-    copies = (
-        rest.unionByName(edge).withColumn("copies", F.col("_base") + F.col("_more")).where(F.col("copies") > 0)
-        .select("doc_id", "source", "copies", "tokens", "shard", F.xxhash64(F.lit(SEED + 1), "doc_id", "shard").alias("position"))
-    )
-    copies = cut(copies)
-    drawn = {r.source: int(r.n) for r in copies.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("n")).collect()}
+    every = placed.where(F.col("_part").isNull()).unionByName(_ended(placed.where(F.col("_part").isNotNull()), len(wanted)))
+    copies = cut(every.select("doc_id", "source", "copy", "tokens", "shard", F.xxhash64(F.lit(SEED + 1), "doc_id", "copy").alias("position")))
+    drawn = {r.source: int(r.n) for r in copies.groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
     size = sum(drawn.values())
-    lines = [
-        (s, share, repeats, available.get(s, 0), drawn.get(s, 0), drawn.get(s, 0) / size if size else 0.0, drawn.get(s, 0) >= 0.98 * quota[s]["wanted"])
+    report = [
+        (s, share, repeats, available.get(s, 0), drawn.get(s, 0), quota[s]["attainable"], drawn.get(s, 0) / size if size else 0.0, drawn.get(s, 0) + largest.get(s, 0) > quota[s]["wanted"] or not quota[s]["wanted"])
         for s, (share, repeats) in sorted(wanted.items())
-    ]
-    schema = "source string, target_share double, max_repeats int, available_tokens long, drawn_tokens long, actual_share double, reached boolean"
-    return copies, spark.createDataFrame(lines, schema)
+    ]
+    schema = "source string, target_share double, max_repeats int, available_tokens long, drawn_tokens long, attainable_share double, actual_share double, reached boolean"
+    return copies, spark.createDataFrame(report, schema)

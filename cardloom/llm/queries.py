@@ -53,7 +53,7 @@ def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Copies per document of the mix, with output shard and position in it."""
+    """Copies of documents in the mix, with the output shard and position of each."""
     return mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
 
 
