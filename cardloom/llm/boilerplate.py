@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from cardloom.functions.sites import host_of
 from cardloom.llm import residue
-from cardloom.session import bounded
+from cardloom.session import bounded, cut
 
 # Frequent function words in en, de, fr, es.
 STOP_WORDS = set(
@@ -350,7 +350,7 @@ def learned_phrases(cards: DataFrame, fields: tuple[str, ...]) -> np.ndarray:
     Counts cover all texts. Each line of a site counts once, however often it stands there. The result has ``PHRASES``
     entries, whatever the data.
     """
-    counts = line_counts(cards, fields)
+    counts = cut(line_counts(cards, fields))
     sites = counts.where(F.col("line").isNull()).select("site", F.col("pages").alias("_all"))
     least, share, inside = (F.when(F.col("sentence"), F.lit(full)).otherwise(F.lit(short)) for short, full in (REPEATED, REPEATED_SHARE, INSIDE))
     judged = counts.where(F.col("line").isNotNull()).join(bounded(sites), "site").select(
