@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cardloom.functions.words import with_shingles
-from cardloom.session import cut
+from cardloom.session import bounded, cut
 
 SIMILARITY = 0.8
 SHINGLE = 5
+#: Texts per part of a shingle that many texts hold.
+HOT = 2_000
 
 
 def exact_classes(documents: DataFrame) -> DataFrame:
@@ -28,9 +30,8 @@ def exact_classes(documents: DataFrame) -> DataFrame:
     classes = keyed.groupBy("_a", "_b", "_n").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
     salted = classes.withColumn("_s", F.explode(F.sequence(F.lit(0), F.when(F.col("copies") > 10_000, 15).otherwise(0))))
     salt = F.when(F.col("_hot"), F.pmod(F.xxhash64("doc_id"), F.lit(16))).otherwise(0).cast("int")
-    # a hot text beyond the limit is merely not salted: its class is found under salt 0, which every class has
     hot = classes.where(F.col("copies") > 10_000).select("_a", "_b", "_n", F.lit(True).alias("_hot"))
-    marked = keyed.join(F.broadcast(hot.limit(100_000)), ["_a", "_b", "_n"], "left").withColumn("_hot", F.coalesce("_hot", F.lit(False))).withColumn("_s", salt)
+    marked = keyed.join(bounded(hot, 100_000), ["_a", "_b", "_n"], "left").withColumn("_hot", F.coalesce("_hot", F.lit(False))).withColumn("_s", salt)
     return marked.join(salted, ["_a", "_b", "_n", "_s"]).select("doc_id", "class_id", "copies")
 
 
@@ -45,9 +46,14 @@ def similar_pairs(documents: DataFrame, similarity: float = SIMILARITY, shingle:
     held = each.join(common, "_h").groupBy("doc_id", "_n").agg(F.array_sort(F.collect_list(F.struct("_df", "_h"))).alias("_shared"))
     prefix = F.col("_n") - F.ceil(F.col("_n") * similarity) + 1 - (F.col("_n") - F.size("_shared"))
     rare = held.where(prefix > 0).select("doc_id", "_n", F.posexplode(F.slice("_shared", 1, prefix.cast("int"))).alias("_pos", "_e")).select("doc_id", "_n", F.col("_e._h").alias("_h"))
-    a, b = rare.select(F.col("doc_id").alias("a"), F.col("_n").alias("_na"), "_h"), rare.select(F.col("doc_id").alias("b"), F.col("_n").alias("_nb"), "_h")
+    rare = cut(rare)
+    # a shingle held by many texts is split: one side by a salt, the other sent to each of its parts, so no pair is lost
+    parts = rare.groupBy("_h").agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > HOT).select("_h", F.ceil(F.col("_c") / HOT).cast("int").alias("_parts"))
+    split = rare.join(bounded(parts, 200_000), "_h", "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    a = split.select(F.col("doc_id").alias("a"), F.col("_n").alias("_na"), "_h", F.pmod(F.xxhash64("doc_id"), F.col("_parts")).cast("int").alias("_salt"))
+    b = split.select(F.col("doc_id").alias("b"), F.col("_n").alias("_nb"), "_h", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_salt"))
     fits = (F.col("a") < F.col("b")) & (F.col("_na") >= F.col("_nb") * similarity) & (F.col("_nb") >= F.col("_na") * similarity)
-    candidates = a.join(b, "_h").where(fits).select("a", "b").distinct()
+    candidates = a.join(b, ["_h", "_salt"]).where(fits).select("a", "b").distinct()
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("_s").alias("_sa")), sets.select(F.col("doc_id").alias("b"), F.col("_s").alias("_sb"))
     scored = candidates.join(left, "a").join(right, "b").withColumn("_i", F.size(F.array_intersect("_sa", "_sb")))
     scored = scored.withColumn("similarity", F.col("_i") / (F.size("_sa") + F.size("_sb") - F.col("_i")))

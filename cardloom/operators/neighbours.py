@@ -3,47 +3,39 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries per block; a block travels as one row.
-BLOCK = 4096
+from cardloom.session import cut
+
+#: Queries per block: all that the driver holds at a time, and what one scan of the vectors compares.
+BLOCK = 32_768
 
 
 def nearest(vectors: DataFrame, k: int, every: int = 100) -> DataFrame:
     """(query_id, vec_id, similarity, rank): the ``k`` most similar other vectors of each vector whose id is divisible by ``every``.
 
-    Ties go to the smaller id. Null vectors are left out; a zero vector is similar to nothing (0). Each task keeps its own
-    best ``k`` per query, so the ranking sees at most k rows per query and task.
+    Ties go to the smaller id. Null vectors are left out; a zero vector is similar to nothing (0). Queries are cut into blocks
+    by a hash of their ids; each block is one scan, in which every task keeps its own best ``k`` per query, and is
+    materialised before the next one, so the ranking sees at most k rows per query and task.
     """
     rows = vectors.where(F.col("embedding").isNotNull() & F.col("vec_id").isNotNull()).select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"))
     queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
-    blocks = [
-        (np.array([r.vec_id for r in part]), np.array([r.embedding for r in part], dtype=np.float32))
-        for part in _parts(queries.orderBy("vec_id").toLocalIterator(), BLOCK)
-    ]
-    out = None
-    for ids, matrix in blocks:
-        found = rows.mapInPandas(_search(ids, _unit(matrix), k), "query_id bigint, vec_id bigint, similarity double")
-        out = found if out is None else out.unionAll(found)
-    if out is None:
+    blocks = -(-queries.count() // BLOCK)
+    found = []
+    for block in range(blocks):
+        part = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).orderBy("vec_id").toArrow()
+        if part.num_rows:
+            matrix = np.stack(part["embedding"].to_numpy()).astype(np.float32)
+            found.append(cut(rows.mapInPandas(_search(part["vec_id"].to_numpy(), _unit(matrix), k), "query_id bigint, vec_id bigint, similarity double")))
+    if not found:
         return rows.sparkSession.createDataFrame([], "query_id bigint, vec_id bigint, similarity double, rank int")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k)
-
-
-def _parts(rows, size: int):
-    part = []
-    for row in rows:
-        part.append(row)
-        if len(part) == size:
-            yield part
-            part = []
-    if part:
-        yield part
+    return reduce(DataFrame.unionAll, found).withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def _unit(matrix: np.ndarray) -> np.ndarray:

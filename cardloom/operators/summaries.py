@@ -50,10 +50,20 @@ def evidence_counts(cards: DataFrame) -> DataFrame:
 
 
 def quality_stats(cards: DataFrame) -> DataFrame:
-    """One row: mean, sample deviation and exact median of valid credibility scores, mean confidence."""
+    """One row: mean, sample deviation and exact median of valid credibility scores, mean confidence.
+
+    Cards are first counted per distinct pair of scores, so the median's buffer holds distinct scores instead of all.
+    """
     score = valid_score(F.col("credibility_score"))
-    return cards.select(score.alias("s"), valid_score(F.col("confidence")).alias("f")).agg(
-        F.round(F.avg("s"), 6).alias("mean"), F.round(F.stddev_samp("s"), 6).alias("deviation"), F.round(F.expr("percentile(s, 0.5)"), 6).alias("median"), F.round(F.avg("f"), 6).alias("confidence")
+    pairs = cards.groupBy(score.alias("s"), valid_score(F.col("confidence")).alias("f")).agg(F.count(F.lit(1)).alias("n"))
+    scores = F.when(F.col("s").isNotNull(), F.col("n"))
+    sums = pairs.agg(
+        F.sum(scores).alias("n"), F.sum(F.col("s") * F.col("n")).alias("s1"), F.sum(F.col("s") * F.col("s") * F.col("n")).alias("s2"), F.expr("percentile(s, 0.5, if(s is null, 0, n))").alias("m"),
+        F.sum(F.col("f") * F.col("n")).alias("f1"), F.sum(F.when(F.col("f").isNotNull(), F.col("n"))).alias("fn"),
+    )
+    variance = (F.col("s2") - F.col("s1") * F.col("s1") / F.col("n")) / (F.col("n") - 1)
+    return sums.select(
+        F.round(F.col("s1") / F.col("n"), 6).alias("mean"), F.round(F.when(F.col("n") > 1, F.sqrt(F.greatest(variance, F.lit(0.0)))), 6).alias("deviation"), F.round("m", 6).alias("median"), F.round(F.col("f1") / F.col("fn"), 6).alias("confidence")
     )
 
 

@@ -30,14 +30,25 @@ def _sql_list(values: list[str]) -> str:
     return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
 
 
-_UNIT_SQL = [(u, p.replace("'", "''")) for u, p in quantities.UNITS]
-_LOW = "lower(coalesce(claim, ''))"
-_VALUE = (
-    "cast(coalesce("
-    + ", ".join(f"nullif(regexp_extract({_LOW}, '{p}', 1), '')" for _, p in _UNIT_SQL)
-    + rf", replace(nullif(regexp_extract({_LOW}, '\b(\d{{1,3}}(?:,\d{{3}})+(?:\.\d+)?)\b', 1), ''), ',', ''), nullif(regexp_extract({_LOW}, '(?:^|[^\w.])((?:[013-9]|2[1-9])\d*(?:\.\d+)?)\b', 1), '')) as double)"
-)
-_UNIT = "case " + " ".join(f"when regexp_matches({_LOW}, '{p}') then '{u}'" for u, p in _UNIT_SQL) + " else '' end"
+_UNIT_ROWS = ", ".join(f"('{w}', {r}, '{u}')" for w, (r, u) in quantities.UNITS.items())
+_PART_ROWS = ", ".join(f"('{w}', {r}, '{c}')" for w, (r, c) in quantities.PARTS.items())
+
+
+def _quantity_sql(source: str, text_column: str) -> str:
+    """Common table expressions ``quantity`` (ingest_idx, value, unit) and ``span`` (ingest_idx, period) of a text column."""
+    low = f"lower(coalesce({text_column}, ''))"
+    return rf"""units(word, rank, unit) as (values {_UNIT_ROWS}), parts(word, rank, code) as (values {_PART_ROWS}),
+    said as (select ingest_idx, unnest(regexp_extract_all({low}, '{quantities.NUMBER}', 1)) as n, unnest(regexp_extract_all({low}, '{quantities.NUMBER}', 2)) as w,
+      unnest(range(len(regexp_extract_all({low}, '{quantities.NUMBER}', 1)))) as place from {source}),
+    rated as (select ingest_idx, place, cast(replace(n, ',', '') as double) as value, unit, coalesce(rank, case when regexp_matches(w, '^\S') then null when contains(n, ',') then 7 when not regexp_full_match(n, '20\d\d') then 8 end) as rank
+      from said left join units on word = regexp_replace(trim(w), '\s+', ' ', 'g')),
+    quantity as (select ingest_idx, value, unit from rated where rank is not null qualify row_number() over (partition by ingest_idx order by rank, place) = 1),
+    named as (select ingest_idx, unnest(regexp_extract_all({low}, '{quantities.PERIOD}', 1)) as p0, unnest(regexp_extract_all({low}, '{quantities.PERIOD}', 2)) as y,
+      unnest(range(len(regexp_extract_all({low}, '{quantities.PERIOD}', 1)))) as place from {source}),
+    span as (select ingest_idx, trim(code || ' ' || y) as period from (select *, coalesce(p0, '') as p from named) join parts
+      on word = case when regexp_matches(p, '[-–]') then regexp_replace(p, '^.*[-–]\s*', '')[1:3] else regexp_replace(p, '\s+', ' ', 'g') end
+      qualify row_number() over (partition by ingest_idx order by rank, place) = 1)"""
+
 
 SqlQuery = tuple[Callable[[SparkSession, str], DataFrame], str | None]
 
@@ -123,11 +134,8 @@ def _numeric_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.numeric_claims(_cards(spark, sf_dir)).groupBy("unit", "period").agg(F.count(F.lit(1)).alias("claims"), F.round(F.min("value"), 4).alias("low"), F.round(F.max("value"), 4).alias("high"))
 
 
-_PERIOD = (
-    r"coalesce(upper(nullif(regexp_extract({0}, '\b([Qq][1-4])\s*20\d{{2}}\b', 1), '')) || ' ' || regexp_extract({0}, '\b[Qq][1-4]\s*(20\d{{2}})\b', 1), "
-    r"case lower(regexp_extract({0}, '(?i)\b(first|second)\s+half\s+(?:of\s+)?20\d{{2}}\b', 1)) when 'first' then 'H1' when 'second' then 'H2' end || ' ' || regexp_extract({0}, '(?i)\b(?:first|second)\s+half\s+(?:of\s+)?(20\d{{2}})\b', 1), "
-    r"nullif(regexp_extract({0}, '\b(20\d{{2}})\b', 1), ''))"
-)
+_CLAIMS = rf"""{_quantity_sql('evidence_cards', 'claim')},
+claims as (select ingest_idx, {_DOMAIN} as domain, {_MASKED.format('claim')} as metric, coalesce(unit, '') as unit, period, value from evidence_cards join quantity using (ingest_idx) join span using (ingest_idx))"""
 _CANONICAL = f"""
 with parts as (
   select ingest_idx, regexp_replace(regexp_replace(url, '#.*$', ''), '\\?.*$', '') as base, url,
@@ -135,10 +143,22 @@ with parts as (
       lambda p: p <> '' and lower(string_split(p, '=')[1]) not in ({_sql_list(urls.TRACKING)}))) as kept
   from evidence_cards),
 built as (select ingest_idx, url, case when len(kept) > 0 then base || '?' || array_to_string(kept, '&') else base end as u from parts),
-done as (select ingest_idx, url, case when u like '%/' and length(u) - length(replace(u, '/', '')) > 3 then regexp_replace(u, '/+$', '') else u end as canonical from built)
+done as (select ingest_idx, url, regexp_replace(regexp_replace(u, '\\?.*$', ''), '^([A-Za-z][A-Za-z0-9+.-]*://[^/]*/.*?)/+$', '\\1') || regexp_extract(u, '(\\?.*)$', 1) as canonical from built)
 select ingest_idx, canonical, {_DOMAIN} as domain, sha1(canonical) as url_id from done
 """
 
+_MIRROR_SQL = " ".join(f"when '{a}' then '{b}'" for a, b in urls.MIRRORS.items())
+_REGISTRY_SQL = " ".join(
+    f"when ({' or '.join(f"(host = '{h}' or ends_with(host, '.{h}'))" for h in hosts)}) and regexp_matches(url, '{pattern}') then '{prefix}:' || {'upper' if prefix == 'crs' else ''}(regexp_extract(url, '{pattern}', 1))"
+    for prefix, hosts, pattern in urls.REGISTRIES
+)
+_DOI_SQL = r"nullif(regexp_replace(lower(regexp_extract(coalesce({0}, ''), '(10\.\d{{4,9}}/[^\s?#&\"<>]+)', 1)), '[.,;]+$', ''), '')"
+_WORKS = rf"""with h as (select *, lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) as full_host from evidence_cards),
+p as (select *, regexp_replace(full_host, ':[0-9]+$', '') as host from h),
+w as (select ingest_idx, coalesce('doi:' || coalesce({_DOI_SQL.format('doi')}, {_DOI_SQL.format('url')}), case {_REGISTRY_SQL} end,
+  lower('url:' || case full_host {_MIRROR_SQL} else full_host end || regexp_replace(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '(?:/+|\.pdf)*$', ''))) as work from p)
+select work, min(ingest_idx) as ingest_idx, count(*) as cards from w group by 1"""
+
 QUERIES: dict[str, SqlQuery] = {
     "source_quality": (
         lambda s, d: summaries.source_quality(_cards(s, d)),
@@ -199,7 +219,7 @@ QUERIES: dict[str, SqlQuery] = {
         select h.id as request_id, h.status, h.stored, coalesce(c.cards, 0) as cards, coalesce(k.cost, 0.0) as cost from h left join c on c.request_id = h.id left join k on k.request_id = h.id""",
     ),
     "url_forms": (_url_forms, _CANONICAL),
-    "works": (_works, None),
+    "works": (_works, _WORKS),
     "claim_hashes": (
         _hashes,
         f"select ingest_idx, sha256({_CLAIM.format('claim')}) as claim_hash, md5({_CLAIM.format('claim')})[1:8] as claim_id, md5({_CLAIM.format('claim')})[1:16] as long_id from evidence_cards",
@@ -211,8 +231,8 @@ QUERIES: dict[str, SqlQuery] = {
         round(case when len(list_distinct(list_concat({_TOKENS.format('claim')}, {_TOKENS.format('title')}))) = 0 then 0.0
         else len(list_intersect(list_distinct({_TOKENS.format('claim')}), list_distinct({_TOKENS.format('title')}))) / len(list_distinct(list_concat({_TOKENS.format('claim')}, {_TOKENS.format('title')}))) end, 6) as title_overlap from evidence_cards""",
     ),
-    "claim_numbers": (_numbers, None),
-    "title_periods": (_periods, f"select ingest_idx, {_PERIOD.format('title')} as period from evidence_cards"),
+    "claim_numbers": (_numbers, f"with {_quantity_sql('evidence_cards', 'claim')} select ingest_idx, round(value, 6) as value, coalesce(unit, '') as unit from evidence_cards left join quantity using (ingest_idx)"),
+    "title_periods": (_periods, f"with {_quantity_sql('evidence_cards', 'title')} select ingest_idx, period from evidence_cards left join span using (ingest_idx)"),
     "backfilled_cards": (
         _backfill,
         f"""select ingest_idx, coalesce(nullif(claim, ''), nullif(title, ''), nullif(snippet, ''), '')[1:2000] as claim, coalesce(nullif(source_domain, ''), nullif({_DOMAIN}, ''), '') as source_domain,
@@ -252,8 +272,14 @@ QUERIES: dict[str, SqlQuery] = {
         h as (select -sum(n / t * log2(n / t)) as bits from c, t)
         select k as providers, round(bits, 6) as bits, round(bits * ln(2), 6) as nats, round(case when k > 1 then bits / log2(k) else 0.0 end, 6) as evenness, round(m / t, 6) as top_share from t, h""",
     ),
-    "numeric_claims": (_numeric_claims, None),
-    "numeric_consensus": (lambda s, d: evidence.consensus(evidence.numeric_claims(_cards(s, d))), None),
+    "numeric_claims": (_numeric_claims, f"with {_CLAIMS} select unit, period, count(*) as claims, round(min(value), 4) as low, round(max(value), 4) as high from claims group by 1, 2"),
+    "numeric_consensus": (
+        lambda s, d: evidence.consensus(evidence.numeric_claims(_cards(s, d))),
+        f"""with {_CLAIMS}, middle as (select metric, unit, period, quantile_cont(value, 0.5) as median, count(*) as n, count(distinct domain) as domains, min(value) as low, max(value) as high from claims group by 1, 2, 3 having count(*) >= 2),
+        votes as (select metric, unit, period, count(*) filter (abs(value - median) <= 0.03 * greatest(abs(median), 1e-9)) as support from claims join middle using (metric, unit, period) group by 1, 2, 3)
+        select metric, unit, period, round(median, 6) as median, n as values, support, n - support as dissent, domains, support >= 2 and domains >= 2 and support * 2 >= n as triangulated,
+        high - low > 0.1 * greatest(abs(high), abs(low), 1.0) as conflict from middle join votes using (metric, unit, period)""",
+    ),
     "text_statistics": (
         lambda s, d: evidence.text_statistics(_cards(s, d)).drop("language"),
         f"""select ingest_idx, length(coalesce(supporting_text, '')) as characters, len({_TOKENS.format('supporting_text')}) as words, len(regexp_extract_all(coalesce(supporting_text, ''), '[.!?]+')) as sentences,
@@ -324,7 +350,12 @@ QUERIES: dict[str, SqlQuery] = {
         lambda s, d: evidence.stance_totals(_cards(s, d)),
         f"select discipline, stance, count(*) as cards, count(distinct {_DOMAIN}) as domains from evidence_cards group by 1, 2",
     ),
-    "numeric_disagreements": (lambda s, d: evidence.numeric_disagreements(evidence.numeric_claims(_cards(s, d))), None),
+    "numeric_disagreements": (
+        lambda s, d: evidence.numeric_disagreements(evidence.numeric_claims(_cards(s, d))).select("metric", "unit", "period", "domains"),
+        f"""with {_CLAIMS}, sides as (select metric, unit, period, domain, min(value) as lo, max(value) as hi from claims group by 1, 2, 3, 4)
+        select metric, unit, period, (select count(*) from sides s where s.metric = a.metric and s.unit = a.unit and s.period = a.period) as domains from sides a join sides b using (metric, unit, period)
+        where a.domain <> b.domain and b.hi - a.lo > 0.1 * greatest(abs(b.hi), abs(a.lo), 1.0) group by metric, unit, period""",
+    ),
     "sites_without_cards": (
         lambda s, d: table(s, d, "source_profiles", "site").subtract(_cards(s, d).select(urls.domain(F.col("url")).alias("site"))),
         f"select site from source_profiles except select {_DOMAIN} from evidence_cards",

@@ -19,6 +19,16 @@ def _texts():
     return [" ".join(t) for t in out] + ["", "too few words", " ".join(out[0])]
 
 
+def test_hot_shingles_are_split_without_loss(spark, monkeypatch):
+    from cardloom.operators import near_duplicates
+
+    base = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty and so on it goes for all of them"
+    docs = spark.createDataFrame([(i, f"{base} x{i}") for i in range(40)], "doc_id long, text string")
+    whole = {tuple(r) for r in similar_pairs(docs).collect()}
+    monkeypatch.setattr(near_duplicates, "HOT", 7)
+    assert {tuple(r) for r in similar_pairs(docs).collect()} == whole and len(whole) == 40 * 39 // 2
+
+
 def test_pairs_equal_brute_force(spark):
     texts = _texts()
     docs = spark.createDataFrame([*enumerate(texts), (900, None)], "doc_id long, text string")
