@@ -30,7 +30,7 @@ def nearest(vectors: DataFrame, k: int, every: int = 100) -> DataFrame:
     for block in range(blocks):
         part = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).orderBy("vec_id").toArrow()
         if part.num_rows:
-            matrix = np.stack(part["embedding"].to_numpy()).astype(np.float32)
+            matrix = np.stack(part["embedding"].to_numpy()).astype(np.float64)
             found.append(cut(rows.mapInPandas(_search(part["vec_id"].to_numpy(), _unit(matrix), k), "query_id bigint, vec_id bigint, similarity double")))
     if not found:
         return rows.sparkSession.createDataFrame([], "query_id bigint, vec_id bigint, similarity double, rank int")
@@ -50,7 +50,7 @@ def _search(ids: np.ndarray, queries: np.ndarray, k: int):
             if not len(batch):
                 continue
             own = batch["vec_id"].to_numpy()
-            scores = np.round((queries @ _unit(np.stack(batch["embedding"].to_numpy()).astype(np.float32)).T).astype(np.float64), 6)
+            scores = np.round((queries @ _unit(np.stack(batch["embedding"].to_numpy()).astype(np.float64)).T), 6)
             scores[ids[:, None] == own[None, :]] = -np.inf
             top = np.argsort(-scores, axis=1, kind="stable")[:, : k + 8] if scores.shape[1] > k + 8 else np.tile(np.arange(scores.shape[1]), (len(ids), 1))
             cutoff = np.take_along_axis(scores, top[:, -1:], axis=1)

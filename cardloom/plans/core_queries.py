@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardloom.functions import privacy, quantities, text, urls
+from cardloom.functions import privacy, quantities, text, urls, words
 from cardloom.operators import evidence, near_duplicates, neighbours, summaries
 from cardloom.operators.normalise_time import changed_times
 from cardloom.sources.tables import table
@@ -159,6 +159,27 @@ w as (select ingest_idx, coalesce('doi:' || coalesce({_DOI_SQL.format('doi')}, {
   lower('url:' || case full_host {_MIRROR_SQL} else full_host end || regexp_replace(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '(?:/+|\.pdf)*$', ''))) as work from p)
 select work, min(ingest_idx) as ingest_idx, count(*) as cards from w group by 1"""
 
+_NEIGHBOURS = """with e as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings where embedding is not null),
+s as (select q.vec_id as query_id, b.vec_id, round(coalesce(list_dot_product(q.v, b.v) / nullif(sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(b.v, b.v)), 0), 0), 6) as similarity
+  from e q join e b on b.vec_id <> q.vec_id where q.vec_id % 100 = 0)
+select query_id, vec_id, similarity, row_number() over (partition by query_id order by similarity desc, vec_id) as rank from s qualify rank <= 5"""
+
+
+def _near_sql(rows: str) -> str:
+    """Classes of texts with a shingle similarity of 0.8 among ``rows`` (doc_id, text), by the definition: all pairs that share a shingle."""
+    run = " || ' ' || ".join(f"w[i + {k}]" for k in range(5))
+    return rf"""with recursive e as (select doc_id, min(doc_id) over (partition by text) as class_id, text from ({rows}) where text is not null),
+    t as (select doc_id, list_filter(string_split_regex(translate(lower(text), '{words.ACCENTED}', '{words.PLAIN}'), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') as w from e where doc_id = class_id),
+    s as (select distinct doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: {run})) as h from t where len(w) >= 5),
+    n as (select doc_id, count(*) as n from s group by 1),
+    p as (select x.doc_id as a, y.doc_id as b, count(*) as i from s x join s y on x.h = y.h and x.doc_id < y.doc_id group by 1, 2),
+    q as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where i >= 0.8 * (x.n + y.n - i)),
+    both_ways as (select a, b from q union all select b, a from q),
+    reach(node, other) as (select a, b from both_ways union select r.node, k.b from reach r join both_ways k on k.a = r.other),
+    roots as (select node, least(node, min(other)) as root from reach group by node), links as (select a as node, count(*) as links from both_ways group by 1)
+    select doc_id, coalesce(root, class_id) as class_id, coalesce(links, 0) as links from e left join roots r on r.node = class_id left join links l on l.node = class_id"""
+
+
 QUERIES: dict[str, SqlQuery] = {
     "source_quality": (
         lambda s, d: summaries.source_quality(_cards(s, d)),
@@ -327,8 +348,8 @@ QUERIES: dict[str, SqlQuery] = {
         lambda s, d: near_duplicates.exact_classes(table(s, d, "documents", "doc_id", "text")),
         "select doc_id, min(doc_id) over (partition by text) as class_id, count(*) over (partition by text) as copies from documents where text is not null",
     ),
-    "near_duplicates": (lambda s, d: near_duplicates.near_duplicate_classes(table(s, d, "documents", "doc_id", "text")), None),
-    "vector_neighbours": (lambda s, d: neighbours.nearest(table(s, d, "embeddings", "vec_id", "embedding"), 5), None),
+    "near_duplicates": (lambda s, d: near_duplicates.near_duplicate_classes(table(s, d, "documents", "doc_id", "text")), _near_sql("select doc_id, text from documents")),
+    "vector_neighbours": (lambda s, d: neighbours.nearest(table(s, d, "embeddings", "vec_id", "embedding"), 5), _NEIGHBOURS),
     "claim_sentences": (
         lambda s, d: evidence.claim_sentences(_cards(s, d)),
         r"""with p as (select ingest_idx, unnest(string_split_regex(coalesce(supporting_text, ''), '[.!?]\s+|\n+')) as s, generate_subscripts(string_split_regex(coalesce(supporting_text, ''), '[.!?]\s+|\n+'), 1) - 1 as position from evidence_cards),
@@ -364,7 +385,7 @@ QUERIES: dict[str, SqlQuery] = {
         lambda s, d: table(s, d, "source_profiles", "site").intersect(_cards(s, d).select(urls.domain(F.col("url")).alias("site"))),
         f"select site from source_profiles intersect select {_DOMAIN} from evidence_cards",
     ),
-    "claim_classes": (lambda s, d: near_duplicates.near_duplicate_classes(_cards(s, d).select(F.col("ingest_idx").alias("doc_id"), F.col("claim").alias("text"))), None),
+    "claim_classes": (lambda s, d: near_duplicates.near_duplicate_classes(_cards(s, d).select(F.col("ingest_idx").alias("doc_id"), F.col("claim").alias("text"))), _near_sql("select ingest_idx as doc_id, claim as text from evidence_cards")),
     "redacted_texts": (
         lambda s, d: _cards(s, d).select("ingest_idx", F.md5(privacy.redacted(F.col("supporting_text"))).alias("redacted_md5"), privacy.has_personal_data(F.col("supporting_text")).alias("personal")),
         "select ingest_idx, md5("
