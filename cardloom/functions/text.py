@@ -43,6 +43,23 @@ def truncated(text: Column, limit: int) -> Column:
     return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit - 3), F.lit("..."))).otherwise(text)
 
 
+def without_quotes(text: Column) -> Column:
+    """Without quotation marks of any kind; null stays null."""
+    return F.translate(text, "\"'“”‘’„«»‹›", "")
+
+
+def numeric_density(text: Column) -> Column:
+    """Number tokens per word or number of a text; 0 without any."""
+    every = F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[\p{L}\p{N}]+(?:[.,]\d+)*"))
+    return F.when(every == 0, F.lit(0.0)).otherwise(F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"\b\d+(?:[.,]\d+)*")) / every)
+
+
+def best_window(text: Column, limit: int) -> Column:
+    """The first sentence with a number that is no longer than ``limit``, else the first that long; null if none is."""
+    pieces = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?])\s+|\n+"), lambda s: F.trim(s)), lambda s: (s != "") & (F.length(s) <= limit))
+    return F.coalesce(F.get(F.filter(pieces, lambda s: s.rlike("[0-9]")), F.lit(0)), F.get(pieces, F.lit(0)))
+
+
 def number_tokens(text: Column) -> Column:
     """Distinct number tokens, sorted."""
     return F.array_sort(F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(\d+(?:[.,]\d+)*)"), 1)))

@@ -38,6 +38,11 @@ def exact_classes(documents: DataFrame) -> DataFrame:
 def similar_pairs(documents: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """(a, b, similarity), a < b: pairs of documents whose shingle sets are at least that similar. Ids must be unique."""
     sets = with_shingles(documents.select("doc_id", "text"), ["doc_id"], "text", shingle).select("doc_id", F.array_distinct("_shingles").alias("_s"))
+    return similar_sets(sets, similarity)
+
+
+def similar_sets(sets: DataFrame, similarity: float = SIMILARITY, overlap: int = 1) -> DataFrame:
+    """(a, b, similarity), a < b: pairs of sets (doc_id, _s) with at least that Jaccard similarity and so many common members."""
     sets = cut(sets.withColumn("_n", F.size("_s")))
     each = sets.select("doc_id", "_n", F.explode("_s").alias("_h"))
     rarity = each.groupBy("_h").agg(F.count(F.lit(1)).alias("_df"))
@@ -57,7 +62,7 @@ def similar_pairs(documents: DataFrame, similarity: float = SIMILARITY, shingle:
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("_s").alias("_sa")), sets.select(F.col("doc_id").alias("b"), F.col("_s").alias("_sb"))
     scored = candidates.join(left, "a").join(right, "b").withColumn("_i", F.size(F.array_intersect("_sa", "_sb")))
     scored = scored.withColumn("similarity", F.col("_i") / (F.size("_sa") + F.size("_sb") - F.col("_i")))
-    return scored.where(F.col("similarity") >= similarity).select("a", "b", "similarity")
+    return scored.where((F.col("similarity") >= similarity) & (F.col("_i") >= overlap)).select("a", "b", "similarity")
 
 
 def components(pairs: DataFrame) -> DataFrame:

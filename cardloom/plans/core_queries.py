@@ -8,10 +8,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardloom.functions import privacy, quantities, text, urls, words
-from cardloom.operators import evidence, near_duplicates, neighbours, summaries
+from cardloom.functions import dimensions, privacy, quantities, text, urls, words
+from cardloom.operators import claims, evidence, near_duplicates, neighbours, summaries
 from cardloom.operators.normalise_time import changed_times
 from cardloom.sources.tables import table
+from cardloom.streaming import costs
 
 REQUIRED = ["id", "url", "title", "snippet", "provider", "claim", "collected_at"]
 SCORES = ["credibility_score", "relevance_score"]
@@ -180,6 +181,46 @@ def _near_sql(rows: str) -> str:
     select doc_id, coalesce(root, class_id) as class_id, coalesce(links, 0) as links from e left join roots r on r.node = class_id left join links l on l.node = class_id"""
 
 
+def _structured(spark: SparkSession, sf_dir: str, source: str = "claim") -> DataFrame:
+    return claims.structured_claims(_cards(spark, sf_dir), source)
+
+
+def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of each user's events, at most ten minutes apart."""
+    events = table(spark, sf_dir, "events", "user_id", "ts")
+    own = costs.sessions(events, "user_id", "ts")
+    return own.groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.max("events").alias("longest"))
+
+
+def _extra_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quote = F.coalesce(F.col("best_quote"), F.col("snippet"))
+    return _cards(spark, sf_dir).select(
+        "ingest_idx", F.md5(text.without_quotes(quote)).alias("bare_md5"), privacy.pseudonym(F.col("author")).alias("author_key"), F.round(text.numeric_density(F.col("claim")), 6).alias("density"), dimensions.direction(F.col("claim")).alias("direction")
+    )
+
+
+def _names_sql(names: dict[str, str], text_column: str) -> str:
+    """(ingest_idx, name): the canonical name of the longest alias that stands in a text column."""
+    rows = ", ".join(f"({k}, '{a.replace("'", "''")}', '{n}')" for k, (a, n) in enumerate(names.items()))
+    low = f"lower(trim(coalesce({text_column}, '')))"
+    spaced = rf"' ' || regexp_replace({low}, '[^\p{{L}}\p{{N}}.&''-]+|[.''-]+(?:\s|$)', ' ', 'g') || ' '"
+    return f"""select ingest_idx, n.name from evidence_cards join (values {rows}) n(rank, alias, name) on contains({spaced}, ' ' || n.alias || ' ') or {low} = n.alias
+    qualify row_number() over (partition by ingest_idx order by case when {low} = n.alias then 0 else 1 end, n.rank) = 1"""
+
+
+_STRUCTURED = f"""{_quantity_sql('evidence_cards', 'claim')}, entity as ({_names_sql(dimensions.ENTITIES, 'claim')}), metric as ({_names_sql(dimensions.METRICS, 'claim')}),
+pieces as (select ingest_idx, {_DOMAIN} as domain, entity.name as entity, coalesce(metric.name, nullif({_MASKED.format('claim')}, '')) as metric, period, value, unit
+  from evidence_cards left join entity using (ingest_idx) left join metric using (ingest_idx) left join span using (ingest_idx) left join quantity using (ingest_idx)),
+structured as (select *, case when metric is not null and (entity is not null or period is not null) then concat_ws('|', entity, metric, period) end as key from pieces)"""
+_PRIMARY = "(coalesce(case {0} " + " ".join(f"when '{a}' then '{b}'" for a, b in dimensions.PRIMARY_HOSTS.items()) + " end, {0}) in (" + _sql_list(sorted(set(dimensions.PRIMARY_HOSTS.values()))) + r") or regexp_matches({0}, '\.(?:gov|edu|int|mil)(?:\.[a-z]{{2}})?$'))"
+_HOST_TESTS = [(f, f"ends_with({{0}}, '{h}')" if h[0] == "." else f"({{0}} = '{h}' or ends_with({{0}}, '.{h}'))") for f, hosts in dimensions.FAMILIES.items() for h in hosts]
+_FAMILY = "case " + " ".join(f"when {test} then '{f}'" for f, test in _HOST_TESTS) + " else 'other' end"
+_TWO = f"list_contains([{_sql_list(urls.TWO_PART)}], array_to_string(string_split({{0}}, '.')[-2:], '.'))"
+_REGISTRABLE = f"array_to_string(string_split({{0}}, '.')[-(case when {_TWO} then 3 else 2 end):], '.')"
+_WORDS_OF = "string_split_regex(lower(coalesce({0}, '')), '[^a-z]+')"
+_SIDES = f"(list_has_any({_WORDS_OF}, [{_sql_list(dimensions.RISING)}])::int - list_has_any({_WORDS_OF}, [{_sql_list(dimensions.FALLING)}])::int)"
+
+
 QUERIES: dict[str, SqlQuery] = {
     "source_quality": (
         lambda s, d: summaries.source_quality(_cards(s, d)),
@@ -399,6 +440,63 @@ QUERIES: dict[str, SqlQuery] = {
         """select n_name, cast(year(l_shipdate) as int) as year, sum(cast(round(l_extendedprice * (1 - l_discount) * 10000) as bigint)) / 10000 as revenue, count(*) as lines
         from lineitem join supplier on s_suppkey = l_suppkey join nation on n_nationkey = s_nationkey group by 1, 2""",
     ),
+    "structured_claims": (
+        lambda s, d: _structured(s, d).withColumn("value", F.round("value", 6)),
+        f"with {_STRUCTURED} select ingest_idx, domain, entity, metric, period, round(value, 6) as value, unit, key from structured",
+    ),
+    "claim_support": (
+        lambda s, d: claims.claim_support(_structured(s, d)),
+        f"""with {_STRUCTURED} select key, count(*) as claims, count(distinct domain) as domains, count(distinct domain) filter ({_PRIMARY.format('domain')}) as primaries,
+        case when count(distinct domain) >= 2 then 'triangulated' else 'single' end as label from structured where key is not null group by 1""",
+    ),
+    "uncorroborated_claims": (
+        lambda s, d: claims.uncorroborated(_structured(s, d)),
+        f"""with {_STRUCTURED} select key, max((value is not null)::int + (entity is not null and period is not null)::int) as priority from structured where key is not null group by 1
+        having count(distinct domain) < 2 order by 2 desc, 1 limit 20""",
+    ),
+    "primary_share": (
+        lambda s, d: claims.primary_share(_cards(s, d), F.lower(F.trim("cluster_id"))),
+        f"""with r as (select lower(trim(cluster_id)) as key, {_DOMAIN} as domain, coalesce(is_primary_source, false) as flag from evidence_cards where coalesce(trim(cluster_id), '') <> ''),
+        g as (select key from r group by 1 having count(distinct domain) >= 2)
+        select count(*) as cards, count(*) filter (flag or {_PRIMARY.format('domain')}) as primaries, round(case when count(*) > 0 then count(*) filter (flag or {_PRIMARY.format('domain')}) / count(*) else 0.0 end, 6) as share from r join g using (key)""",
+    ),
+    "source_kinds": (
+        lambda s, d: claims.source_kinds(_cards(s, d)),
+        f"""with r as (select {_DOMAIN} as domain, count(*) as n from evidence_cards group by 1)
+        select {_FAMILY.format('domain')} as kind, cast(sum(n) as bigint) as cards, count(*) as domains, count(distinct {_REGISTRABLE.format('domain')}) as registered, count(*) filter ({_PRIMARY.format('domain')}) as primary_domains from r group by 1""",
+    ),
+    "direction_conflicts": (
+        lambda s, d: claims.direction_conflicts(_cards(s, d), "request_id"),
+        f"""select lower(trim(request_id)) as "group", count(*) filter ({_SIDES.format('claim')} > 0) as rising, count(*) filter ({_SIDES.format('claim')} < 0) as falling from evidence_cards
+        where coalesce(trim(request_id), '') <> '' group by 1 having rising > 0 and falling > 0""",
+    ),
+    "paraphrase_classes": (
+        lambda s, d: claims.paraphrase_classes(_cards(s, d).select(F.col("ingest_idx").alias("doc_id"), F.col("claim").alias("text"))),
+        f"""with recursive e as (select ingest_idx as doc_id, list_sort(list_distinct({_TOKENS.format('claim')})) as s from evidence_cards), f as (select * from e where len(s) > 0),
+        u as (select s, min(doc_id) as id from f group by 1), p as (select x.id as a, y.id as b from u x join u y on x.id < y.id
+          where len(list_intersect(x.s, y.s)) >= 3 and len(list_intersect(x.s, y.s)) >= 0.82 * (len(x.s) + len(y.s) - len(list_intersect(x.s, y.s)))),
+        both_ways as (select a, b from p union all select b, a from p), reach(node, other) as (select a, b from both_ways union select r.node, k.b from reach r join both_ways k on k.a = r.other),
+        roots as (select node, least(node, min(other)) as root from reach group by node), c as (select s, id, coalesce(root, id) as class_id from u left join roots on node = id),
+        z as (select class_id, count(*) as size from c group by 1)
+        select doc_id, class_id, size from f join c using (s) join z using (class_id)""",
+    ),
+    "event_sessions": (
+        _sessions,
+        """with m as (select user_id, ts, case when ts <= lag(ts) over w + interval 10 minute then 0 else 1 end as fresh from events window w as (partition by user_id order by ts)),
+        n as (select user_id, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as k from m), c as (select user_id, k, count(*) as events from n group by 1, 2)
+        select user_id, count(*) as sessions, max(events) as longest from c group by 1""",
+    ),
+    "spend_alerts": (
+        lambda s, d: costs.spend_alerts(summaries.first_delivery(table(s, d, "cost_records"), "id", "recorded_at"), 0.05),
+        f"select provider, date_trunc('day', recorded_at) as start, round(sum(coalesce(cost_usd, 0)), 6) as cost from {_FIRST_COSTS} group by 1, 2 having sum(coalesce(cost_usd, 0)) > 0.05",
+    ),
+    "extra_scalars": (
+        _extra_scalars,
+        rf"""select ingest_idx, md5(translate(coalesce(best_quote, snippet), '"''“”‘’„«»‹›', '')) as bare_md5, sha256(author)[1:16] as author_key,
+        round(case when len(regexp_extract_all(coalesce(claim, ''), '[\p{{L}}\p{{N}}]+(?:[.,]\d+)*')) = 0 then 0.0 else len(regexp_extract_all(coalesce(claim, ''), '\b\d+(?:[.,]\d+)*')) / len(regexp_extract_all(coalesce(claim, ''), '[\p{{L}}\p{{N}}]+(?:[.,]\d+)*')) end, 6) as density,
+        {_SIDES.format('claim')} as direction from evidence_cards""",
+    ),
+    "quote_windows": (lambda s, d: _cards(s, d).select("ingest_idx", text.best_window(F.col("supporting_text"), 280).alias("window")), None),
     "p1_found": (p1_found, None),
 }
 

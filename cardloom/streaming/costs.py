@@ -23,6 +23,14 @@ def sessions(stream: DataFrame, key: str, time: str, gap: str = "10 minutes", la
     return out.select(key, F.col("s.start").alias("start"), F.col("s.end").alias("end"), "events")
 
 
+def spend_alerts(costs: DataFrame, limit: float, window: str = "1 day") -> DataFrame:
+    """(provider, start, cost): windows in which a provider's cost is above ``limit``. Works on tables and, with a watermark set
+    before, on streams; negative amounts lower the sum, null ones count as 0."""
+    timed = costs.withColumn("recorded_at", F.col("recorded_at").cast("timestamp"))
+    sums = timed.groupBy(F.window("recorded_at", window).alias("w"), "provider").agg(F.sum(F.coalesce("cost_usd", F.lit(0.0))).alias("cost"))
+    return sums.where(F.col("cost") > limit).select("provider", F.col("w.start").alias("start"), F.round("cost", 6).alias("cost"))
+
+
 def breaker_step(failures: int, open_until: float, events: list[tuple[float, bool]], limit: int, pause: float) -> tuple[int, float, int]:
     """(failures in a row, end of the pause, refused calls) after more (time, failed) events in order of time."""
     refused = 0
