@@ -91,15 +91,20 @@ RISING = ["increase", "increased", "up", "rise", "rose", "grew", "growth", "high
 FALLING = ["decrease", "decreased", "down", "decline", "declined", "fell", "lower"]
 
 
-def canonical_name(text: Column, names: dict[str, str], whole: bool = False) -> Column:
-    """The canonical name of a text: of an exact alias, else, unless ``whole``, of the longest alias that stands in it as words of
-    its own. Null if there is none."""
+def spaced(text: Column) -> Column:
+    """A text in lower case as words between single blanks, with one at both ends; signs inside names stay."""
     low = F.lower(F.trim(F.coalesce(text, F.lit(""))))
-    exact = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[low]
-    if whole:
-        return exact
-    spaced = F.concat(F.lit(" "), F.regexp_replace(low, r"[^\p{L}\p{N}.&'-]+|[.'-]+(?=\s|$)", " "), F.lit(" "))
-    return F.coalesce(exact, *[F.when(spaced.contains(f" {alias} "), F.lit(name)) for alias, name in names.items()])
+    return F.concat(F.lit(" "), F.regexp_replace(low, r"[^\p{L}\p{N}.&'-]+|[.'-]+(?=\s|$)", " "), F.lit(" "))
+
+
+def longest_name(spaced_text: Column, names: dict[str, str]) -> Column:
+    """The canonical name of the longest alias that stands in a text from :func:`spaced` as words of its own; null without any."""
+    return F.coalesce(*[F.when(spaced_text.contains(f" {alias} "), F.lit(name)) for alias, name in names.items()])
+
+
+def canonical_name(text: Column, names: dict[str, str]) -> Column:
+    """The canonical name of a text that is an alias as a whole; null if it is none."""
+    return F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[F.lower(F.trim(text))]
 
 
 def primary_host(name: Column) -> Column:

@@ -56,7 +56,8 @@ def numeric_density(text: Column) -> Column:
 
 def best_window(text: Column, limit: int) -> Column:
     """The first sentence with a number that is no longer than ``limit``, else the first that long; null if none is."""
-    pieces = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?])\s+|\n+"), lambda s: F.trim(s)), lambda s: (s != "") & (F.length(s) <= limit))
+    marked = F.regexp_replace(F.coalesce(text, F.lit("")), r"([.!?])\s+|\n+", "$1\u0001")
+    pieces = F.filter(F.transform(F.split(marked, "\u0001"), lambda s: F.trim(s)), lambda s: (s != "") & (F.length(s) <= limit))
     return F.coalesce(F.get(F.filter(pieces, lambda s: s.rlike("[0-9]")), F.lit(0)), F.get(pieces, F.lit(0)))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cardloom.functions import dimensions, quantities, text, urls
+from cardloom.functions.steps import step
 from cardloom.operators.near_duplicates import components, similar_sets
 from cardloom.session import cut
 
@@ -16,14 +17,15 @@ def structured_claims(cards: DataFrame, source: str = "claim") -> DataFrame:
     Metric and entity are canonical names; where no known metric is named, the text with its numbers masked stands for it. The
     key joins entity, metric and period and is null where only one of them is known.
     """
-    low = F.col(source)
-    value, unit = quantities.number_with_unit(low)
-    metric = dimensions.canonical_name(low, dimensions.METRICS)
-    parts = cards.select(
-        "ingest_idx", urls.domain(F.col("url")).alias("domain"), dimensions.canonical_name(low, dimensions.ENTITIES).alias("entity"), F.coalesce(metric, F.nullif(text.masked_numbers(low), F.lit(""))).alias("metric"), quantities.period(low).alias("period"), value.alias("value"), unit.alias("unit")
-    )
+    value, unit = quantities.number_with_unit(F.col("_text"))
+    base = cards.select("ingest_idx", urls.domain(F.col("url")).alias("domain"), F.coalesce(F.col(source), F.lit("")).alias("_text"))
+    # in steps, so that each part is computed once however often it is used
+    named = step(base, ["ingest_idx", "domain", "_text"], dimensions.spaced(F.col("_text")).alias("_spaced"))
+    named = step(named, ["ingest_idx", "domain", "_text"], dimensions.longest_name(F.col("_spaced"), dimensions.ENTITIES).alias("entity"), dimensions.longest_name(F.col("_spaced"), dimensions.METRICS).alias("_known"))
+    told = F.struct(value.alias("value"), unit.alias("unit"))
+    parts = step(named, ["ingest_idx", "domain", "entity"], F.coalesce("_known", F.nullif(text.masked_numbers(F.col("_text")), F.lit(""))).alias("metric"), quantities.period(F.col("_text")).alias("period"), told.alias("_q"))
     known = F.when(F.col("metric").isNotNull() & (F.col("entity").isNotNull() | F.col("period").isNotNull()), F.concat_ws("|", "entity", "metric", "period"))
-    return parts.withColumn("key", known)
+    return parts.select("ingest_idx", "domain", "entity", "metric", "period", F.col("_q.value").alias("value"), F.col("_q.unit").alias("unit"), known.alias("key"))
 
 
 def claim_support(claims: DataFrame) -> DataFrame:

@@ -204,8 +204,8 @@ def _names_sql(names: dict[str, str], text_column: str) -> str:
     rows = ", ".join(f"({k}, '{a.replace("'", "''")}', '{n}')" for k, (a, n) in enumerate(names.items()))
     low = f"lower(trim(coalesce({text_column}, '')))"
     spaced = rf"' ' || regexp_replace({low}, '[^\p{{L}}\p{{N}}.&''-]+|[.''-]+(?:\s|$)', ' ', 'g') || ' '"
-    return f"""select ingest_idx, n.name from evidence_cards join (values {rows}) n(rank, alias, name) on contains({spaced}, ' ' || n.alias || ' ') or {low} = n.alias
-    qualify row_number() over (partition by ingest_idx order by case when {low} = n.alias then 0 else 1 end, n.rank) = 1"""
+    return f"""select ingest_idx, n.name from evidence_cards join (values {rows}) n(rank, alias, name) on contains({spaced}, ' ' || n.alias || ' ')
+    qualify row_number() over (partition by ingest_idx order by n.rank) = 1"""
 
 
 _STRUCTURED = f"""{_quantity_sql('evidence_cards', 'claim')}, entity as ({_names_sql(dimensions.ENTITIES, 'claim')}), metric as ({_names_sql(dimensions.METRICS, 'claim')}),
@@ -496,7 +496,11 @@ QUERIES: dict[str, SqlQuery] = {
         round(case when len(regexp_extract_all(coalesce(claim, ''), '[\p{{L}}\p{{N}}]+(?:[.,]\d+)*')) = 0 then 0.0 else len(regexp_extract_all(coalesce(claim, ''), '\b\d+(?:[.,]\d+)*')) / len(regexp_extract_all(coalesce(claim, ''), '[\p{{L}}\p{{N}}]+(?:[.,]\d+)*')) end, 6) as density,
         {_SIDES.format('claim')} as direction from evidence_cards""",
     ),
-    "quote_windows": (lambda s, d: _cards(s, d).select("ingest_idx", text.best_window(F.col("supporting_text"), 280).alias("window")), None),
+    "quote_windows": (
+        lambda s, d: _cards(s, d).select("ingest_idx", text.best_window(F.col("supporting_text"), 280).alias("window")),
+        r"""with p as (select ingest_idx, list_filter(list_transform(string_split(regexp_replace(coalesce(supporting_text, ''), '([.!?])\s+|\n+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '' and length(s) <= 280) as p from evidence_cards)
+        select ingest_idx, coalesce(list_filter(p, lambda s: regexp_matches(s, '[0-9]'))[1], p[1]) as window from p""",
+    ),
     "p1_found": (p1_found, None),
 }
 

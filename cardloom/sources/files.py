@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cardloom.functions import urls
 from cardloom.operators.evidence import backfilled, with_errors
 
 _STRINGS = (
@@ -60,8 +64,82 @@ def cards_from_hits(hits: DataFrame, provider: str) -> DataFrame:
     )
 
 
-def warc_records(content: bytes) -> Iterator[tuple[str, str, bytes]]:
-    """(type, target URI, payload) of the records of an uncompressed web archive; a broken record ends the file."""
+# Where the answers of public search services hold what a card needs: (path of the list of hits, fields by path).
+PROVIDERS = {
+    "openalex": ("$.results", {"url": "$.id", "title": "$.title", "doi": "$.doi", "publication_date": "$.publication_date", "source_domain": "$.primary_location.source.display_name"}),
+    "crossref": ("$.message.items", {"url": "$.URL", "title": "$.title[0]", "snippet": "$.abstract", "doi": "$.DOI", "publication_date": "$.created.date-time", "author": "$.author[0].family"}),
+    "europepmc": ("$.resultList.result", {"url": "$.id", "title": "$.title", "snippet": "$.abstractText", "doi": "$.doi", "publication_date": "$.firstPublicationDate", "author": "$.authorString"}),
+    "wikipedia": ("$.query.search", {"url": "$.pageid", "title": "$.title", "snippet": "$.snippet", "publication_date": "$.timestamp"}),
+    "gdelt": ("$.articles", {"url": "$.url", "title": "$.title", "source_domain": "$.domain", "publication_date": "$.seendate"}),
+    "brave": ("$.web.results", {"url": "$.url", "title": "$.title", "snippet": "$.description", "publication_date": "$.page_age"}),
+    "tavily": ("$.results", {"url": "$.url", "title": "$.title", "snippet": "$.content", "publication_date": "$.published_date"}),
+    "serper": ("$.organic", {"url": "$.link", "title": "$.title", "snippet": "$.snippet", "publication_date": "$.date"}),
+    "serpapi": ("$.organic_results", {"url": "$.link", "title": "$.title", "snippet": "$.snippet", "publication_date": "$.date"}),
+    "semantic_scholar": ("$.data", {"url": "$.url", "title": "$.title", "snippet": "$.abstract", "doi": "$.externalIds.DOI", "publication_date": "$.publicationDate"}),
+    "core": ("$.results", {"url": "$.downloadUrl", "title": "$.title", "snippet": "$.abstract", "doi": "$.doi", "publication_date": "$.publishedDate"}),
+    "fred": ("$.seriess", {"url": "$.id", "title": "$.title", "snippet": "$.notes", "publication_date": "$.last_updated"}),
+    "worldbank": ("$[1]", {"url": "$.id", "title": "$.name", "snippet": "$.sourceNote"}),
+}
+# Addresses of records of which an answer gives only a number.
+PAGES = {"wikipedia": "https://en.wikipedia.org/?curid=", "europepmc": "https://europepmc.org/article/MED/", "fred": "https://fred.stlouisfed.org/series/", "worldbank": "https://data.worldbank.org/indicator/"}
+
+
+def cards_from_answers(answers: DataFrame) -> DataFrame:
+    """Cards from raw answers (provider, body as JSON text) of the services in ``PROVIDERS``.
+
+    One row per hit with an address; hits are read by path, so fields that an answer lacks are null. Tags are taken out of
+    titles and snippets. Answers of unknown providers, and bodies that are no JSON, give nothing.
+    """
+    parts = []
+    for provider, (items, fields) in PROVIDERS.items():
+        hits = answers.where(F.col("provider") == provider).select(F.explode(F.from_json(F.get_json_object("body", items), "array<string>")).alias("hit"))
+        own = {name: F.get_json_object("hit", path) for name, path in fields.items()}
+        if provider in PAGES:
+            own["url"] = F.concat(F.lit(PAGES[provider]), own["url"])
+        columns = [own.get(c, F.lit(None).cast("string")).alias(c) for c in ("url", "title", "snippet", "doi", "author", "source_domain", "publication_date")]
+        parts.append(hits.select(F.lit(provider).alias("provider"), *columns))
+    every = reduce(DataFrame.unionByName, parts).where(F.coalesce(F.trim("url"), F.lit("")) != "")
+    plain = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), "<[^>]*>", "")
+    return every.withColumns({"title": plain("title"), "snippet": plain("snippet"), "source_domain": F.coalesce("source_domain", urls.domain(F.col("url"))), "id": F.sha1("url")}).withColumn("claim", F.col("title"))
+
+
+def upserted(existing: DataFrame, updates: DataFrame, key: str = "id", order: str = "ingest_idx") -> DataFrame:
+    """``existing`` with the rows of ``updates`` in place of those with the same key; of repeated updates the last by ``order``
+    wins. Rows without a key are kept as they are, and appended."""
+    keyed = updates.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__k")).agg(F.max_by(F.struct(*updates.columns), F.col(order)).alias("__r")).select("__r.*")
+    kept = existing.join(keyed.select(key), key, "left_anti").select(existing.columns)
+    return kept.unionByName(keyed, allowMissingColumns=True).unionByName(updates.where(F.col(key).isNull()), allowMissingColumns=True)
+
+
+def replace_output(df: DataFrame, path: str, kind: str = "parquet") -> None:
+    """Writes ``df`` beside ``path`` and then puts it in its place by renaming, so that readers see the old files or the new ones,
+    and a failed write leaves the old ones alone. ``df`` may read from ``path``."""
+    spark = df.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    fresh, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").format(kind).save(fresh)
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(conf)
+    if fs.exists(target):
+        fs.rename(target, jvm.org.apache.hadoop.fs.Path(old))
+    fs.rename(jvm.org.apache.hadoop.fs.Path(fresh), target)
+    fs.delete(jvm.org.apache.hadoop.fs.Path(old), True)
+
+
+def unexpired(entries: DataFrame, now: Column) -> DataFrame:
+    """Cache entries whose ``expires_at`` lies after ``now``; those without one never expire."""
+    return entries.where(F.col("expires_at").isNull() | (F.col("expires_at") > now))
+
+
+def warc_records(content: bytes) -> Iterator[tuple[str, str, str, str, bytes]]:
+    """(type, target URI, date, content type, payload) of the records of a web archive, compressed or not; a broken record ends it.
+
+    Compressed archives are read member by member, so only one record is unpacked at a time.
+    """
+    if content[:2] == b"\x1f\x8b":
+        for member in _members(content):
+            yield from warc_records(member)
+        return
     at = 0
     while (start := content.find(b"WARC/", at)) >= 0:
         head_end = content.find(b"\r\n\r\n", start)
@@ -73,16 +151,28 @@ def warc_records(content: bytes) -> Iterator[tuple[str, str, bytes]]:
         if not length.strip().isdigit():
             return
         body = content[head_end + 4 : head_end + 4 + int(length)]
-        yield fields.get("warc-type", ""), fields.get("warc-target-uri", ""), body
+        yield fields.get("warc-type", ""), fields.get("warc-target-uri", ""), fields.get("warc-date", ""), fields.get("content-type", ""), body
         at = head_end + 4 + int(length)
 
 
+def _members(content: bytes) -> Iterator[bytes]:
+    while content:
+        unpack = zlib.decompressobj(31)
+        try:
+            yield unpack.decompress(content)
+        except zlib.error:
+            return
+        content = unpack.unused_data
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(path, kind, url, payload) of the records of web archives; one file is one unit of work."""
+    """(path, kind, url, date, content_type, payload) of the records of web archives; one file is one unit of work."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(p, *record) for p, content in zip(batch["path"], batch["content"], strict=True) for record in warc_records(content)]
-            yield pd.DataFrame(rows, columns=["path", "kind", "url", "payload"])
+            for p, content in zip(batch["path"], batch["content"], strict=True):
+                for record in warc_records(content):  # one record at a time, as archives are large
+                    yield pd.DataFrame([(p, *record)], columns=["path", "kind", "url", "date", "content_type", "payload"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, "path string, kind string, url string, payload binary")
+    schema = "path string, kind string, url string, date string, content_type string, payload binary"
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, schema)
