@@ -85,14 +85,15 @@ _STOCK = re.compile(
     )$""",
     re.I | re.X,
 )
-# Words of which every stock phrase above has at least one; lines without them skip the pattern.
-_CUES = set(
-    "cookie cookies partner partners partenaires socios accept akzeptieren accepter aceptar privacy uses choices tracking legitimate continue clicking using continuing staying small files speichert dateien gérer traceurs elija configurar sell manage "
-    "newsletter e-mail email enter your sign subscribe recevez abonnez-vous reciba suscríbase already follow folgen suivez-nous síganos share teilen partager compartir print save listen download get skip zum aller saltar back nach haut volver loading report jump "
-    "previous next vorheriger nächster page seite página advertisement advertising anzeige werbung publicité publicidad sponsored promoted comments comment kommentare kommentar commentaires commentaire comentarios comentario shares likes views replies reactions people "
-    "min minute minutes minuten minutos lesezeit temps tiempo gallery bildergalerie updated published posted vote poll copyright rights rechte droits derechos reproduction nachdruck reproducción funded part independent angebot editado édité publié helpline hotline customer "
-    "map plan mapa advertise terms imprint mentions aviso impressum corrections publication publicación publikation enjoying support tags tag keywords schlagwörter mots-clés etiquetas manage before".split()
+# First words of the stock phrases above that begin with one, and words of those that may begin otherwise; lines
+# with neither skip the pattern.
+_FIRST = set(
+    "we wir nous nosotros this usamos utilizamos cookie your tracking legitimate before by allow diese gérer elija configurar do manage enter sign subscribe recevez abonnez-vous reciba suscríbase already follow folgen suivez-nous síganos share teilen artikel partager compartir print save "
+    "listen download get skip zum aller saltar back nach haut volver loading report jump previous next vorheriger nächster page seite página advertisement advertising anzeige werbung publicité publicidad sponsored promoted comment comments lesezeit temps tiempo photo gallery bildergalerie "
+    "updated published posted vote poll copyright reproduction nachdruck reproducción funded part ein editado édité publié une una eine enjoying support helpline hotline customer plan mapa advertise terms privacy imprint mentions aviso impressum corrections tag tags keyword keywords "
+    "schlagwörter mots-clés etiquetas newsletter c".split()
 )
+_INNER = set("accept akzeptieren accepter aceptar files dateien traceurs newsletter rights rechte droits derechos published independent map comment comments kommentar kommentare commentaire commentaires comentario comentarios share shares like likes view views replies reactions people min minute minutes minuten minutos".split())
 _APART = str.maketrans(dict.fromkeys('|·•>/,.:;()!?"', " "))
 _SEPARATORS = re.compile(r"\s+[|·•>»/‹›]\s+|\s{2,}|\t+")
 _ROW = re.compile(r"^[\w\s.,%()+-]*\d[\w\s.,%()+-]*$")
@@ -119,7 +120,9 @@ def _link_density(line: str, items: list[str], lists: bool = True) -> float:
 
 
 def _stock(bare: str, low: str) -> bool:
-    return bool((bare[0] in "©®(" or "°" in bare or not _CUES.isdisjoint(low.translate(_APART).split())) and _STOCK.match(bare))
+    words = low.translate(_APART).split()
+    likely = bare[0] in "©®(" or "°" in bare or words and (words[0] in _FIRST or not _INNER.isdisjoint(words))
+    return bool(likely and _STOCK.match(bare))
 
 
 def _running(line: str) -> bool:
@@ -241,8 +244,11 @@ class Rules:
 
     def alone(self, text: str) -> bool:
         """Whether a text of one line is furniture; repetition says nothing here, as whole texts are repeated too."""
-        low = text.strip().lower().rstrip(":")
-        return self.lists and (low in SIDEBAR or low in MENU or _stock(text.strip(), low)) or _link_density(text.strip(), _items(text.strip()), self.lists) > 0.6 and not _ROW.match(text.strip().replace("|", " "))
+        bare = text.strip()
+        low = bare.lower().rstrip(":")
+        if self.lists and (low in SIDEBAR or low in MENU or _stock(bare, low)):
+            return True
+        return bool(_SEPARATORS.search(bare)) and _link_density(bare, _items(bare), self.lists) > 0.6 and not _ROW.match(bare.replace("|", " "))
 
     def furniture(self, text: str | None, title: str | None = None) -> list[int]:
         """Numbers, from 1, of the lines of a text that are not main content. Null and blank texts have none; blank lines are none."""
