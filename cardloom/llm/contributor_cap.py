@@ -27,7 +27,7 @@ def _salted_join(rows: DataFrame, small: DataFrame, keys: list[str]) -> DataFram
     return rows.withColumn("_salt", F.pmod(F.col("ingest_idx"), F.lit(SALT)).cast("int")).join(salted, [*keys, "_salt"]).drop("_salt")
 
 
-def _refine(rows: DataFrame, group: list[str], order: Column, finest: bool = False) -> DataFrame:
+def _refine(rows: DataFrame, group: list[str], order: Column) -> DataFrame:
     """Rows with ``_order`` (smaller is better), the group's cutoff ``_cut`` and ``_left``, the cap that remains in the cutoff bin.
 
     Rows of groups within their cap have no row in the result, as nothing of theirs goes.
