@@ -39,6 +39,17 @@ def claim_support(claims: DataFrame) -> DataFrame:
     return out.withColumn("label", F.when(F.col("domains") >= 2, "triangulated").otherwise("single"))
 
 
+def agreement(claims: DataFrame, tolerance: float = 0.1) -> DataFrame:
+    """(key, domains, low, high, agree): keys to which two domains or more give values, the extremes of these with their units'
+    factors, and whether all lie within the relative tolerance. No pairs are formed: extremes decide, and merge map-side."""
+    factor = F.coalesce(F.create_map(*[cell for unit, f in quantities.SCALES.items() for cell in (F.lit(unit), F.lit(f))])[F.col("unit")], F.lit(1.0))
+    stated = claims.where(F.col("key").isNotNull() & F.col("value").isNotNull()).withColumn("v", F.col("value") * factor)
+    sides = stated.groupBy("key", "domain").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    both = sides.groupBy("key").agg(F.count(F.lit(1)).alias("domains"), F.min("low").alias("low"), F.max("high").alias("high")).where(F.col("domains") >= 2)
+    agree = F.col("high") - F.col("low") <= tolerance * F.greatest(F.abs("high"), F.abs("low"), F.lit(1.0))
+    return both.select("key", "domains", F.round("low", 4).alias("low"), F.round("high", 4).alias("high"), agree.alias("agree"))
+
+
 def uncorroborated(claims: DataFrame, k: int = 20) -> DataFrame:
     """The ``k`` keys of a single domain that most deserve another source: those with a value first, then with entity and period,
     then by key. An anti-join with the triangulated keys."""

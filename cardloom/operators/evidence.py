@@ -164,6 +164,35 @@ def triangulated_union(cards: DataFrame) -> DataFrame:
     return both.withColumn("rate", F.round(F.when(F.col("cards") > 0, F.col("triangulated") / F.col("cards")).otherwise(0.0), 6))
 
 
+def triangulation_by(cards: DataFrame, column: str) -> DataFrame:
+    """(column, cards, triangulated, rate): per value of a column its cards, and those whose claim another domain states too.
+
+    Claims are counted over distinct (claim, domain) pairs first; cards without a claim count as not triangulated.
+    """
+    rows = cards.select(column, text.normalised_claim(F.col("claim")).alias("key"), urls.domain(F.col("url")).alias("domain"))
+    counts = rows.groupBy(column, "key", "domain").agg(F.count(F.lit(1)).alias("n"))
+    good = counts.where(F.col("key") != "").groupBy("key", "domain").agg(F.lit(1)).groupBy("key").agg((F.count(F.lit(1)) >= 2).alias("good"))
+    sums = counts.join(good, "key", "left").groupBy(column).agg(F.sum("n").alias("cards"), F.coalesce(F.sum(F.when(F.col("good"), F.col("n"))), F.lit(0)).alias("triangulated"))
+    return sums.withColumn("rate", F.round(F.col("triangulated") / F.col("cards"), 6))
+
+
+def hashed_sample(rows: DataFrame, key: str, k: int, seed: str = "") -> DataFrame:
+    """``k`` distinct values of ``key``, chosen by a hash of value and seed: the same for any order and partitioning of the rows."""
+    mark = F.md5(F.concat(F.lit(seed), F.col(key)))
+    return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.lit(1)).select(key, mark.alias("mark")).orderBy("mark", key).limit(k)
+
+
+def last_per_key(cards: DataFrame, key: str) -> DataFrame:
+    """(key, ingest_idx, first): per key its last row, in the place of its first one; rows without a key are left out."""
+    return cards.where(F.col(key).isNotNull()).groupBy(key).agg(F.max("ingest_idx").alias("ingest_idx"), F.min("ingest_idx").alias("first"))
+
+
+def quote_coverage(cards: DataFrame, by: str = "provider") -> DataFrame:
+    """Cards and the share of them with a quote that says something, per value of a column."""
+    quoted = F.count_if(F.coalesce(F.trim("best_quote"), F.lit("")) != "")
+    return cards.groupBy(by).agg(F.count(F.lit(1)).alias("cards"), F.round(quoted / F.count(F.lit(1)), 6).alias("quoted"))
+
+
 def claim_sentences(cards: DataFrame, source: str = "supporting_text", k: int = 2) -> DataFrame:
     """(ingest_idx, position, sentence): up to ``k`` sentences per text that hold a number, those with a year first, then by position.
 

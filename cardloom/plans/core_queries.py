@@ -221,6 +221,13 @@ _WORDS_OF = "string_split_regex(lower(coalesce({0}, '')), '[^a-z]+')"
 _SIDES = f"(list_has_any({_WORDS_OF}, [{_sql_list(dimensions.RISING)}])::int - list_has_any({_WORDS_OF}, [{_sql_list(dimensions.FALLING)}])::int)"
 
 
+_FACTOR = "(case unit " + " ".join(f"when '{u}' then {f}" for u, f in quantities.SCALES.items()) + " else 1.0 end)"
+
+
+def _agreeing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return claims.agreement(_structured(spark, sf_dir))
+
+
 QUERIES: dict[str, SqlQuery] = {
     "source_quality": (
         lambda s, d: summaries.source_quality(_cards(s, d)),
@@ -501,6 +508,44 @@ QUERIES: dict[str, SqlQuery] = {
         r"""with p as (select ingest_idx, list_filter(list_transform(string_split(regexp_replace(coalesce(supporting_text, ''), '([.!?])\s+|\n+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '' and length(s) <= 280) as p from evidence_cards)
         select ingest_idx, coalesce(list_filter(p, lambda s: regexp_matches(s, '[0-9]'))[1], p[1]) as window from p""",
     ),
+    "plain_urls": (
+        lambda s, d: _cards(s, d).select("ingest_idx", urls.url_without_campaign(F.col("url")).alias("plain"), privacy.redacted_url(F.col("url")).alias("redacted")),
+        r"""with p as (select ingest_idx, url, regexp_replace(coalesce(url, ''), '#.*$', '') as u from evidence_cards),
+        k as (select *, list_filter(string_split(regexp_extract(u, '\?(.*)$', 1), '&'), lambda x: x <> '' and not starts_with(lower(x), 'utm_')) as kept from p)
+        select ingest_idx, lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)) || regexp_extract(u, '^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?]*)', 1) || case when len(kept) > 0 then '?' || array_to_string(kept, '&') else '' end as plain,
+        regexp_replace(url, '(?i)([?&](?:api_?key|token|secret|password|access_token|signature)=)[^&#]*', '\1REDACTED', 'g') as redacted from k""",
+    ),
+    "cards_off_blogs": (
+        lambda s, d: evidence.without_banned(_cards(s, d), table(s, d, "source_profiles").where("site_kind = 'blog'").select(F.col("site").alias("domain"))).select("ingest_idx", "source_domain"),
+        """select ingest_idx, source_domain from evidence_cards where coalesce(trim(source_domain), '') <> ''
+        and lower(trim(source_domain)) not in (select site from source_profiles where site_kind = 'blog')""",
+    ),
+    "agreeing_claims": (
+        _agreeing,
+        f"""with {_STRUCTURED}, v as (select key, domain, min(value * {_FACTOR}) as low, max(value * {_FACTOR}) as high from structured where key is not null and value is not null group by 1, 2)
+        select key, count(*) as domains, round(min(low), 4) as low, round(max(high), 4) as high, max(high) - min(low) <= 0.1 * greatest(abs(max(high)), abs(min(low)), 1.0) as agree from v group by 1 having count(*) >= 2""",
+    ),
+    "triangulation_by_discipline": (
+        lambda s, d: evidence.triangulation_by(_cards(s, d), "discipline"),
+        f"""with r as (select discipline, {_CLAIM.format('claim')} as key, {_DOMAIN} as domain from evidence_cards), g as (select key from r where key <> '' group by 1 having count(distinct domain) >= 2)
+        select discipline, count(*) as cards, count(g.key) as triangulated, round(count(g.key) / count(*), 6) as rate from r left join g using (key) group by 1""",
+    ),
+    "hashed_sample": (
+        lambda s, d: evidence.hashed_sample(_cards(s, d), "id", 50, "a"),
+        "select id, md5('a' || id) as mark from (select distinct id from evidence_cards where id is not null) order by 2, 1 limit 50",
+    ),
+    "last_deliveries": (
+        lambda s, d: evidence.last_per_key(_cards(s, d), "id"),
+        "select id, max(ingest_idx) as ingest_idx, min(ingest_idx) as first from evidence_cards where id is not null group by 1",
+    ),
+    "quote_coverage": (
+        lambda s, d: evidence.quote_coverage(_cards(s, d)),
+        "select provider, count(*) as cards, round(count(*) filter (coalesce(trim(best_quote), '') <> '') / count(*), 6) as quoted from evidence_cards group by 1",
+    ),
+    "top_per_discipline": (
+        lambda s, d: evidence.top_per_group(_cards(s, d), "discipline", 8),
+        f"select discipline, ingest_idx, rank from (select discipline, ingest_idx, row_number() over (partition by discipline order by {_CRED} desc nulls last, ingest_idx) as rank from evidence_cards) where rank <= 8",
+    ),
     "p1_found": (p1_found, None),
 }
 
