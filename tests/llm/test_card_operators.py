@@ -210,7 +210,7 @@ def test_evidence_of_cuts(spark):
     names = ["alpha", "beta", "gamma", "delta"]
     full = [f"In {rng.choice(names)} the reported costs of the town had risen by {k} percent and the council saw no reason." for k in range(300)]
     rows = [(i, "A title", s, None, None, s, "p") for i, s in enumerate(full)]
-    rows += [(1_000 + i, "A title", s[:60], None, None, None, "q") for i, s in enumerate(full[:40])]
+    rows += [(1_000 + i, "A title", s[:60] if i % 2 else s[:60].rsplit(" ", 1)[0], None, None, None, "q") for i, s in enumerate(full[:40])]
     rows += [(2_000, "A title", "In alpha the repor", None, None, None, "p"), (2_001, "A title", "In beta the reported costs of the", None, None, None, None), (2_002, "A title", "In beta the reported costs of the town had risen by 7", None, None, None, "p"), (2_003, "A title", "Costs of the town […]", None, None, None, "p"), (2_004, "A title", "Alpha", None, None, None, "p")]
     got = {r.ingest_idx: r.evidence for r in truncation.judged_values(spark.createDataFrame(rows, schema)).collect()}
     assert [got[i] for i in (2_000, 2_001, 2_002, 2_003)] == ["trie", "goes_on", "context", "mark"] and got[2_004] is None
