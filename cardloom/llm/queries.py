@@ -34,7 +34,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main body of each card's texts."""
-    return boilerplate.main_bodies(table(spark, sf_dir, "evidence_cards", "ingest_idx", "title", "supporting_text", "snippet"))
+    return boilerplate.main_bodies(table(spark, sf_dir, "evidence_cards", "ingest_idx", "title", "url", "supporting_text", "snippet")).drop("url")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -244,6 +244,11 @@ def test_p2_equals_sql(spark, data):
     assert len(got)
 
 
+def test_bodies_query(spark, data):
+    out = queries.p5_bodies(spark, data)
+    assert out.count() == table(spark, data, "evidence_cards").count() and "supporting_text" in out.columns
+
+
 def test_all_card_queries_give_distinct_rows(spark, data):
     for name in ("p2_found", "p3_found", "p4_found", "p5_found", "p6_found"):
         out = queries.queries()[name](spark, data)
