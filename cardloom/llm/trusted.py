@@ -1,4 +1,4 @@
-"""Trusted residue records, written from public grammars rather than from any table.
+"""Trusted residue records, composed from public grammars; the README says what of the tables was known when they were written.
 
 Status texts come from the registry of HTTP reason phrases, script notices and refusals from small grammars in four
 languages, placeholders from the syntaxes of public template languages, filler from a Latin text of 45 BC that printers use.
