@@ -1,16 +1,20 @@
 """Near-duplicate documents: an exact similarity join on word shingles with prefix filtering, then connected classes.
 
 Exact copies are collapsed first, so that a group of any number of copies costs one representative. Shingles (five words)
-are ordered by rarity; two sets with a Jaccard similarity of at least t must share one of the ``|S| - ceil(t |S|) + 1``
-rarest shingles of each, so only these are joined, and only between sets whose sizes allow the similarity. No candidate is
-dropped otherwise; candidates are verified by their exact similarity.
+are ordered by rarity, as far as bitmaps of fixed size tell it; the first common shingle of two sets with a Jaccard similarity
+of at least t has at most ``(1 - t) |S|`` places before it in the larger set and ``(1 - t) / (1 + t) |S|`` in the smaller one,
+so only these prefixes are joined, where sizes and places allow the similarity. No candidate is dropped otherwise; candidates
+are verified by their exact similarity.
 """
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cardloom.functions.membership import BITS, possibly_in
 from cardloom.functions.words import with_shingles
 from cardloom.session import bounded, cut
 
@@ -18,6 +22,8 @@ SIMILARITY = 0.8
 SHINGLE = 5
 #: Texts per part of a shingle that many texts hold.
 HOT = 2_000
+#: Numbers of texts from which a shingle counts as more frequent.
+LEVELS = (2, 4, 8, 16, 64, 512, 4096)
 
 
 def exact_classes(documents: DataFrame) -> DataFrame:
@@ -35,10 +41,83 @@ def exact_classes(documents: DataFrame) -> DataFrame:
     return marked.join(salted, ["_a", "_b", "_n", "_s"]).select("doc_id", "class_id", "copies")
 
 
-def similar_pairs(documents: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
-    """(a, b, similarity), a < b: pairs of documents whose shingle sets are at least that similar. Ids must be unique."""
-    sets = with_shingles(documents.select("doc_id", "text"), ["doc_id"], "text", shingle).select("doc_id", F.array_distinct("_shingles").alias("_s"))
-    return similar_sets(sets, similarity)
+def similar_pairs(documents: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, chosen: DataFrame | None = None) -> DataFrame:
+    """(a, b, similarity), a < b: pairs of documents whose shingle sets are at least that similar, of those in ``chosen.doc_id`` if
+    given. Ids must be unique."""
+    pairs = _candidates(_sets(documents, shingle), similarity, chosen)
+    # the sets of candidates are made again from their texts; all sets are several times the size of the input
+    ids = cut(pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct())
+    sets = _sets(possibly_in(documents, "doc_id", ids), shingle).join(ids.hint("merge"), "doc_id", "left_semi")
+    left, right = sets.select(F.col("doc_id").alias("a"), F.col("_s").alias("_sa")), sets.select(F.col("doc_id").alias("b"), F.col("_s").alias("_sb"))
+    # sizes of sets are estimated far too low, so the joins name their kind: no side may go through the driver
+    scored = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").withColumn("_i", F.size(F.array_intersect("_sa", "_sb")))
+    scored = scored.withColumn("similarity", F.col("_i") / (F.size("_sa") + F.size("_sb") - F.col("_i")))
+    return scored.where(F.col("similarity") >= similarity).select("a", "b", "similarity")
+
+
+def _sets(documents: DataFrame, shingle: int) -> DataFrame:
+    return with_shingles(documents.select("doc_id", "text"), ["doc_id"], "text", shingle).select("doc_id", F.array_distinct("_shingles").alias("_s"))
+
+
+def _levels(sets: DataFrame) -> list[np.ndarray]:
+    """Bitmaps over the low bits of members: those that at least so many sets hold, for each of ``LEVELS``. Their size is fixed."""
+    counts = sets.select(F.explode("_s").alias("_m")).select(F.col("_m").bitwiseAND(F.lit(0xFFFFFFFF)).alias("_h")).groupBy("_h").agg(F.count(F.lit(1)).alias("_df")).where(F.col("_df") >= LEVELS[0])
+    placed = counts.select("_df", F.pmod("_h", F.lit(1 << BITS)).alias("_x")).select("_df", F.expr("_x div 64").cast("int").alias("_word"), F.expr("shiftleft(1L, cast(_x % 64 as int))").alias("_bit"))
+    words = placed.groupBy("_word").agg(*[F.bit_or(F.when(F.col("_df") >= least, F.col("_bit")).otherwise(0)).alias(f"_l{k}") for k, least in enumerate(LEVELS)]).toArrow()
+    out = []
+    for k in range(len(LEVELS)):
+        bits = np.zeros(1 << (BITS - 6), dtype=np.int64)
+        bits[words["_word"].to_numpy()] = words[f"_l{k}"].to_numpy()
+        out.append(bits.view(np.uint64))
+    return out
+
+
+def _prefixes(levels: Broadcast, similarity: float):
+    """Rows (doc_id, _n, _pos, _h): the members of each set's prefix that other sets may hold, and their places in the order."""
+
+    def of(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            column = batch.column(1)
+            flat, ends = column.flatten().to_numpy(zero_copy_only=False), np.asarray(column.offsets)
+            ends = ends - ends[0]
+            sizes = np.diff(ends)
+            place = (flat & ((1 << BITS) - 1)).astype(np.uint64)
+            word, shift = (place >> np.uint64(6)).astype(np.int64), place & np.uint64(63)
+            level = np.zeros(len(flat), dtype=np.int8)
+            for bits in levels.value:
+                level += ((bits[word] >> shift) & np.uint64(1)).astype(np.int8)
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            order = np.lexsort((flat, level, owner))
+            n, pos = sizes[owner], np.arange(len(flat)) - ends[:-1][owner]
+            # members that no other set holds come first and use up places
+            kept = (pos <= n * (1 - similarity) + 1e-6) & (level[order] > 0)
+            yield pa.record_batch([batch.column(0).take(pa.array(owner[kept])), pa.array(n[kept].astype(np.int32)), pa.array(pos[kept].astype(np.int32)), pa.array(flat[order][kept])], names=["doc_id", "_n", "_pos", "_h"])
+
+    return of
+
+
+def _candidates(sets: DataFrame, similarity: float, chosen: DataFrame | None) -> DataFrame:
+    """(a, b), a < b: all pairs of sets (doc_id, _s) of 64-bit members that may be that similar."""
+    levels = sets.sparkSession.sparkContext.broadcast(_levels(sets))
+    rare = sets.mapInArrow(_prefixes(levels, similarity), f"doc_id {dict(sets.dtypes)['doc_id']}, _n int, _pos int, _h long")
+    if chosen is not None:
+        rare = rare.join(chosen.hint("merge"), "doc_id", "left_semi")
+    rare = cut(rare)
+    # a shingle held by many texts is split: one side by a salt, the other sent to each of its parts, so no pair is lost
+    parts = rare.groupBy("_h").agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > HOT).select("_h", F.ceil(F.col("_c") / HOT).cast("int").alias("_parts"))
+    split = rare.join(bounded(parts, 200_000), "_h", "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    # the first common member of a similar pair has few places before it, in the smaller set fewer than in the larger one
+    share = similarity / (1 + similarity)
+    small = split.where(F.col("_pos") <= F.col("_n") * (1 - 2 * share) + 1e-6)
+    small = small.select(F.col("doc_id").alias("a"), F.col("_n").alias("_na"), F.col("_pos").alias("_pa"), "_h", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_salt"))
+    large = split.select(F.col("doc_id").alias("b"), F.col("_n").alias("_nb"), F.col("_pos").alias("_pb"), "_h", F.pmod(F.xxhash64("doc_id"), F.col("_parts")).cast("int").alias("_salt"))
+    sized = (F.struct("_na", "a") < F.struct(F.col("_nb").alias("_na"), F.col("b").alias("a"))) & (F.col("_na") >= F.col("_nb") * similarity)
+    rest = F.least(F.col("_na") - F.col("_pa"), F.col("_nb") - F.col("_pb"))
+    met = small.join(large.hint("merge"), ["_h", "_salt"]).where(sized & (rest >= (F.col("_na") + F.col("_nb")) * share - 1e-6))
+    return cut(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
 def similar_sets(sets: DataFrame, similarity: float = SIMILARITY, overlap: int = 1) -> DataFrame:
@@ -95,7 +174,7 @@ def near_duplicate_classes(documents: DataFrame, similarity: float = SIMILARITY)
     """
     classes = cut(exact_classes(documents))
     chosen = classes.where(F.col("doc_id") == F.col("class_id")).select("doc_id")
-    pairs = cut(similar_pairs(documents.join(chosen, "doc_id", "left_semi"), similarity))
+    pairs = cut(similar_pairs(documents, similarity, chosen=chosen))
     links = pairs.select(F.col("a").alias("class_id")).unionAll(pairs.select("b")).groupBy("class_id").agg(F.count(F.lit(1)).alias("links"))
     groups = components(pairs).withColumnRenamed("node", "class_id")
     joined = classes.join(groups, "class_id", "left").join(links, "class_id", "left")

@@ -29,6 +29,14 @@ def test_hot_shingles_are_split_without_loss(spark, monkeypatch):
     assert {tuple(r) for r in similar_pairs(docs).collect()} == whole and len(whole) == 40 * 39 // 2
 
 
+def test_sets_do_not_go_through_the_driver(spark, data):
+    """Their size is estimated too low, from that of the files, so no join may choose a broadcast by it."""
+    pairs = similar_pairs(spark.read.parquet(f"{data}/documents.parquet"))
+    joins = [line for line in pairs._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line]
+    assert any("SortMergeJoin" in line for line in joins)
+    assert all("__word" in line for line in joins if "Broadcast" in line)  # bitmaps have a fixed size
+
+
 def test_pairs_equal_brute_force(spark):
     texts = _texts()
     docs = spark.createDataFrame([*enumerate(texts), (900, None)], "doc_id long, text string")
