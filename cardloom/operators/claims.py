@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cardloom.functions import dimensions, quantities, text, urls
 from cardloom.functions.steps import step
-from cardloom.operators.near_duplicates import components, similar_sets
+from cardloom.operators.near_duplicates import components, similar_forest
 from cardloom.session import cut
 
 
@@ -94,12 +94,12 @@ def paraphrase_classes(rows: DataFrame, similarity: float = 0.82, overlap: int =
     """(doc_id, class_id, size): texts (doc_id, text) whose sets of words are at least that similar and share ``overlap`` words, as
     connected classes named by their smallest id, with the number of different word sets in the class.
 
-    Equal word sets are one set from the start; texts without words form no class. The join is exact, see ``similar_sets``.
+    Equal word sets are one set from the start; texts without words form no class. The join is exact, see ``similar_forest``.
     """
     words = rows.select("doc_id", F.array_sort(F.array_distinct(text.tokens(F.col("text")))).alias("_s")).where(F.size("_s") > 0)
     named = words.withColumn("_a", F.xxhash64(F.array_join("_s", " "))).withColumn("_b", F.xxhash64(F.reverse(F.array_join("_s", " ")), F.lit(5)))
     sets = cut(named.groupBy("_a", "_b").agg(F.min("doc_id").alias("set_id"), F.first("_s").alias("_s")))
-    pairs = cut(similar_sets(sets.select(F.col("set_id").alias("doc_id"), "_s"), similarity, overlap))
+    pairs = cut(similar_forest(sets.select(F.col("set_id").alias("doc_id"), "_s"), similarity, overlap))
     groups = components(pairs).withColumnRenamed("node", "set_id")
     classes = sets.drop("_s").join(groups, "set_id", "left").withColumn("class_id", F.coalesce("component", "set_id")).select("_a", "_b", "class_id")
     sizes = classes.groupBy("class_id").agg(F.count(F.lit(1)).alias("size"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cardloom.functions.membership import BITS, possibly_in
@@ -22,6 +22,8 @@ SIMILARITY = 0.8
 SHINGLE = 5
 #: Texts per part of a shingle that many texts hold.
 HOT = 2_000
+#: Members up to which sets are joined by groups of members.
+SMALL = 32
 #: Numbers of texts from which a shingle counts as more frequent.
 LEVELS = (2, 4, 8, 16, 64, 512, 4096)
 
@@ -122,26 +124,74 @@ def _candidates(sets: DataFrame, similarity: float, chosen: DataFrame | None) ->
 
 def similar_sets(sets: DataFrame, similarity: float = SIMILARITY, overlap: int = 1) -> DataFrame:
     """(a, b, similarity), a < b: pairs of sets (doc_id, _s) with at least that Jaccard similarity and so many common members."""
-    sets = cut(sets.withColumn("_n", F.size("_s")))
-    each = sets.select("doc_id", "_n", F.explode("_s").alias("_h"))
-    rarity = each.groupBy("_h").agg(F.count(F.lit(1)).alias("_df"))
-    common = rarity.where(F.col("_df") > 1)
-    # shingles of one document only can make no pair; they still come first in the order, so they use up prefix places
-    held = each.join(common, "_h").groupBy("doc_id", "_n").agg(F.array_sort(F.collect_list(F.struct("_df", "_h"))).alias("_shared"))
-    prefix = F.col("_n") - F.ceil(F.col("_n") * similarity) + 1 - (F.col("_n") - F.size("_shared"))
-    rare = held.where(prefix > 0).select("doc_id", "_n", F.posexplode(F.slice("_shared", 1, prefix.cast("int"))).alias("_pos", "_e")).select("doc_id", "_n", F.col("_e._h").alias("_h"))
-    rare = cut(rare)
-    # a shingle held by many texts is split: one side by a salt, the other sent to each of its parts, so no pair is lost
-    parts = rare.groupBy("_h").agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > HOT).select("_h", F.ceil(F.col("_c") / HOT).cast("int").alias("_parts"))
-    split = rare.join(bounded(parts, 200_000), "_h", "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
-    a = split.select(F.col("doc_id").alias("a"), F.col("_n").alias("_na"), "_h", F.pmod(F.xxhash64("doc_id"), F.col("_parts")).cast("int").alias("_salt"))
-    b = split.select(F.col("doc_id").alias("b"), F.col("_n").alias("_nb"), "_h", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_salt"))
-    fits = (F.col("a") < F.col("b")) & (F.col("_na") >= F.col("_nb") * similarity) & (F.col("_nb") >= F.col("_na") * similarity)
-    candidates = a.join(b, ["_h", "_salt"]).where(fits).select("a", "b").distinct()
-    left, right = sets.select(F.col("doc_id").alias("a"), F.col("_s").alias("_sa")), sets.select(F.col("doc_id").alias("b"), F.col("_s").alias("_sb"))
-    scored = candidates.join(left, "a").join(right, "b").withColumn("_i", F.size(F.array_intersect("_sa", "_sb")))
-    scored = scored.withColumn("similarity", F.col("_i") / (F.size("_sa") + F.size("_sb") - F.col("_i")))
-    return scored.where((F.col("similarity") >= similarity) & (F.col("_i") >= overlap)).select("a", "b", "similarity")
+    return _met(sets, similarity, overlap).distinct()
+
+
+def similar_forest(sets: DataFrame, similarity: float = SIMILARITY, overlap: int = 1) -> DataFrame:
+    """(a, b): pairs of :func:`similar_sets` that connect the same sets as all of them do; each task leaves out those that close a circle."""
+    pairs = _met(sets, similarity, overlap).select("a", "b")
+    return pairs.mapInArrow(_forest, pairs.schema)
+
+
+def _forest(batches):
+    import pyarrow as pa
+
+    root: dict = {}
+    for batch in batches:
+        kept = []
+        for u, v in sorted(set(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))):
+            x, y = u, v
+            while (up := root.setdefault(x, x)) != x:
+                root[x] = x = root[up]
+            while (up := root.setdefault(y, y)) != y:
+                root[y] = y = root[up]
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                kept.append((u, v))
+        yield pa.record_batch([pa.array([e[k] for e in kept], batch.schema.types[k]) for k in (0, 1)], names=["a", "b"])
+
+
+def _groups(members: str, size: int) -> Column:
+    """Hashes of all groups of ``size`` of the array ``members``, each in the array's order."""
+    places = F.sequence(F.lit(0), F.size(members) - 1)
+    chosen = F.transform(places, lambda i: F.struct(i.alias("i"), F.get(members, i).alias("h")))
+    for _ in range(size - 1):
+        chosen = F.flatten(F.transform(chosen, lambda c: F.transform(F.filter(places, lambda j: j > c["i"]), lambda j: F.struct(j.alias("i"), F.xxhash64(c["h"], F.get(members, j)).alias("h")))))
+    return F.transform(chosen, lambda c: c["h"])
+
+
+def _met(sets: DataFrame, similarity: float, overlap: int) -> DataFrame:
+    """Pairs of similar sets, once for each group of rare members by which they met.
+
+    Similar sets have ``m`` common members in prefixes that are longer by ``m - 1`` than those with one. So sets of up to ``SMALL`` members are joined by groups of ``m`` rare members, few of which are frequent, larger ones by single members.
+    Rows carry their set, and those whose group no other set has are left out before they move.
+    """
+    m = min(overlap, 3)
+    hashed = sets.select("doc_id", F.size("_s").alias("_n"), F.transform("_s", lambda w: F.xxhash64(w)).alias("_x"))
+    each = hashed.select("doc_id", "_n", F.explode("_x").alias("_h"))
+    common = each.groupBy("_h").agg(F.count(F.lit(1)).alias("_df")).where(F.col("_df") > 1)
+    # members of one set only can make no pair; they still come first in the order, so they use up prefix places
+    held = each.join(common.hint("merge"), "_h").groupBy("doc_id", "_n").agg(F.array_sort(F.collect_list(F.struct("_df", "_h"))).alias("_e"))
+    held = cut(held.select("doc_id", "_n", F.transform("_e", lambda e: e["_h"]).alias("_x")))
+    spare = F.col("_n") - F.greatest(F.ceil(F.col("_n") * similarity - 1e-9), F.lit(overlap)) - (F.col("_n") - F.size("_x"))
+
+    def keyed(size: int) -> DataFrame:
+        rows = held.where(F.col("_n") <= SMALL) if size > 1 else held.where(F.col("_n") > SMALL * similarity - 1) if m > 1 else held
+        rows = rows.withColumn("_p", F.slice("_x", 1, F.greatest(spare + size, F.lit(0)).cast("int"))).where(F.size("_p") >= size)
+        return rows.select("doc_id", "_n", "_x", F.explode(F.array_distinct(_groups("_p", size))).alias("_g")).withColumn("_g", F.xxhash64("_g", F.lit(size)))
+
+    rows = keyed(m).unionByName(keyed(1)) if m > 1 else keyed(1)
+    counts = cut(rows.groupBy("_g").agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > 1))
+    rows = possibly_in(rows, "_g", counts)
+    # a group held by many sets is split: one side by a salt, the other sent to each of its parts, so no pair is lost
+    parts = counts.where(F.col("_c") > HOT).select("_g", F.ceil(F.col("_c") / HOT).cast("int").alias("_parts"))
+    split = rows.join(bounded(parts, 200_000), "_g", "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    a = split.select(F.col("doc_id").alias("a"), F.col("_n").alias("_na"), F.col("_x").alias("_xa"), "_g", F.pmod(F.xxhash64("doc_id"), F.col("_parts")).cast("int").alias("_salt"))
+    b = split.select(F.col("doc_id").alias("b"), F.col("_n").alias("_nb"), F.col("_x").alias("_xb"), "_g", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_salt"))
+    sized = (F.col("a") < F.col("b")) & (F.col("_na") >= F.col("_nb") * similarity) & (F.col("_nb") >= F.col("_na") * similarity)
+    met = a.join(b.hint("merge"), ["_g", "_salt"]).where(sized).select("a", "b", "_na", "_nb", F.size(F.array_intersect("_xa", "_xb")).alias("_i"))
+    met = met.withColumn("similarity", F.col("_i") / (F.col("_na") + F.col("_nb") - F.col("_i")))
+    return met.where((F.col("similarity") >= similarity) & (F.col("_i") >= overlap)).select("a", "b", "similarity")
 
 
 def components(pairs: DataFrame) -> DataFrame:

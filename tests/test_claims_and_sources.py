@@ -155,3 +155,25 @@ def test_text_windows(spark):
     df = spark.createDataFrame([("No figure here. Costs rose by 5 percent. More.",), ("Only words here.",), ("x" * 400,), (None,), ("",)], "t string")
     assert [r.w for r in df.select(text.best_window(F.col("t"), 280).alias("w")).collect()] == ["Costs rose by 5 percent.", "Only words here.", None, None, None]
     assert df.select(text.without_quotes(F.lit("“a” 'b'")).alias("q")).first().q == "a b"
+
+
+def test_sets_met_by_groups_equal_brute_force(spark):
+    """Small sets meet by three rare members, larger ones by one; frequent members alone make no rows to join."""
+    import random
+
+    from cardloom.operators.near_duplicates import components, similar_forest, similar_sets
+
+    rng = random.Random(4)
+    sets = []
+    for n in [3, 5, 6, 10, 11, 12, 16, 17, 21, 27, 32, 33, 40]:
+        for _ in range(4):
+            base = rng.sample(range(80), n)
+            sets += [base] + [[*rng.sample(base, n - rng.randrange(3)), *rng.sample(range(80, 90), rng.randrange(3))] for _ in range(4)]
+    sets = [sorted(x) for x in {frozenset(x) for x in sets}]
+    df = spark.createDataFrame([(i, [f"w{x}" for x in s]) for i, s in enumerate(sets)], "doc_id long, _s array<string>")
+    common = lambda a, b: len({*sets[a]} & {*sets[b]})
+    want = {(a, b) for b in range(len(sets)) for a in range(b) if (i := common(a, b)) >= 3 and i >= 0.82 * (len(sets[a]) + len(sets[b]) - i)}
+    got = similar_sets(df, 0.82, 3)
+    assert {(r.a, r.b) for r in got.collect()} == want and len(want) > 50
+    forest = similar_forest(df, 0.82, 3)
+    assert {tuple(r) for r in components(forest).collect()} == {tuple(r) for r in components(got).collect()}
